@@ -158,8 +158,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = {f.name: f.dataType.simpleString() for f in slim.schema}
     shape = f"_id {kind['_id']}, _copy int, _source {kind['_source']}, _size long, _p double, _key long, _docs long, _held boolean, _out double"
 
+    def flying(level: int):
+        return lambda pdf: fly(pdf, level)
+
     def fly(pdf: pd.DataFrame, level: int) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_size", "_key", "_copy"], ascending=[False, True, True], kind="stable", ignore_index=True)
+        pdf = pdf.drop(columns="_block").sort_values(["_size", "_key", "_copy"], ascending=[False, True, True], kind="stable", ignore_index=True)
         return pdf.assign(_out=flight(pdf["_size"].to_numpy(), pdf["_p"].to_numpy(), _uniform(pdf["_key"].to_numpy(), level, seed)))
 
     def land(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -175,7 +178,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     level = 0
     while most > BLOCK:
         blocks = F.pmod(F.xxhash64("_key", F.lit(level)), F.greatest(F.lit(1), F.ceil(F.lit(most) * F.col("_docs") / F.lit(max(1, int(totals.agg(F.max("_docs")).first()[0]))) / BLOCK)).cast("long"))
-        flown = steps.put(open_.withColumn("_block", blocks).groupBy("_source", "_block").applyInPandas(lambda pdf, at=level: fly(pdf.drop(columns="_block"), at), shape), f"flight-{level}")
+        flown = steps.put(open_.withColumn("_block", blocks).groupBy("_source", "_block").applyInPandas(flying(level), shape), f"flight-{level}")
         done.append(flown.filter("_out = 0 or _out = 1"))
         open_ = flown.filter("_out > 0 and _out < 1").withColumn("_p", F.col("_out")).drop("_out")
         most = 2 * (most // BLOCK + 1)
