@@ -126,7 +126,7 @@ def landing(size: np.ndarray, p: np.ndarray, want: float) -> np.ndarray:
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[float, ...] = (1, 2, 3), seed: int = 0) -> DataFrame:
-    """One row per row of docs: id, size, source_size, target, taken (words the mix takes, repeats counted).
+    """One row per row of docs: id, size, source_size, target, copies, taken (words the mix takes, repeats counted).
 
     A null text has size 0, a null source is a source of its own (the last). Documents without words are taken 0
     words. Rows that repeat an id are decided one by one. No rows give no rows. Reruns on the same rows agree:
@@ -198,6 +198,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.col("a._size").alias("size"),
             F.col("a._total").alias("source_size"),
             F.col("a._target").alias("target"),
+            (F.col("a._whole") + F.coalesce("b._more", F.lit(0))).alias("copies"),
             ((F.col("a._whole") + F.coalesce("b._more", F.lit(0))) * F.col("a._size")).cast("long").alias("taken"),
         )
     )
