@@ -246,9 +246,10 @@ class VersionedTable:
             where = self._bounds(source, s.layout.partition)
             listed = [p for p, f in s.files.items() if may_hold(f, where)]
             target = self._frame(s, only=listed)
-            ours = target.select(*[named(k) for k in keys], named(changed).alias("_t"), F.col("_metadata.file_path").alias("_file"))
+            file = F.col("_metadata.file_path") if listed else F.lit("")
+            ours = target.select(*[named(k) for k in keys], named(changed).alias("_t"), file.alias("_file"))
             theirs = source.select(*[named(k) for k in keys], named(changed).alias("_s"))
-            met = theirs.join(ours, keys, "inner") if listed else theirs.withColumns({"_t": F.lit(None).cast(schema[changed].dataType), "_file": F.lit("")}).limit(0)
+            met = theirs.join(ours, keys)
             differs = ~F.col("_s").eqNullSafe(F.col("_t"))
             counts = met.agg(F.count_if(differs).alias("u"), F.count("*").alias("m")).first()
             touched = [r["_file"] for r in met.filter(differs).select("_file").distinct().collect()]
@@ -262,7 +263,7 @@ class VersionedTable:
                 take = F.col(f"u.`{keys[0]}`").isNotNull() & ~F.col(f"u.`{changed}`").eqNullSafe(F.col(f"t.`{changed}`"))
                 have = {c.lower(): c for c in source.columns}
                 rewritten = self._write(joined.select(*[(F.when(take, F.col(f"u.`{have[f.name.lower()]}`")).otherwise(F.col(f"t.`{f.name}`")) if f.name.lower() in have else F.col(f"t.`{f.name}`")).alias(f.name) for f in schema.fields]))
-            new = source.join(target.select(*[named(k) for k in keys]), keys, "left_anti") if listed else source
+            new = source.join(target.select(*[named(k) for k in keys]), keys, "left_anti")
             added = [f for f in self._write(self._spread(self._shaped(new, schema), s.layout.partition)) if f.rows]
         finally:
             source.unpersist()
@@ -395,18 +396,27 @@ class VersionedTable:
         return both.withColumn("change", kind).filter("change is not null")
 
 
-def z_key(df: DataFrame, by: list[str], bits: int = 10) -> Column:
+def z_key(df: DataFrame, by: list[str], bits: int = 6) -> Column:
     """Interleaved bits of each column's rank among 2^bits approximate quantiles; nulls come first."""
     steps = 1 << bits
-    numbers = {c: (named(c) if dict(df.dtypes)[c] not in ("timestamp", "timestamp_ntz", "date") else F.unix_micros(named(c).cast("timestamp")) if dict(df.dtypes)[c] != "date" else F.unix_date(named(c))) for c in by}
     kinds = dict(df.dtypes)
-    numbers = {c: (F.xxhash64(v) if kinds[c] == "string" else v.cast("double")) for c, v in numbers.items()}
+
+    def number(c: str) -> Column:
+        if kinds[c].startswith("timestamp"):
+            return F.unix_micros(named(c).cast("timestamp")).cast("double")
+        if kinds[c] == "date":
+            return F.unix_date(named(c)).cast("double")
+        if kinds[c] == "string":  # the first characters keep the order of text
+            return F.conv(F.hex(F.rpad(F.substring(named(c), 1, 6), 6, " ")), 16, 10).cast("double")
+        return named(c).cast("double")
+
+    numbers = {c: number(c) for c in by}
     grid = [i / steps for i in range(1, steps)]
-    cuts = df.agg(*[F.percentile_approx(v.cast("double"), grid, 10_000).alias(f"q{i}") for i, v in enumerate(numbers.values())]).first()
+    cuts = df.agg(*[F.percentile_approx(v, grid, 10_000).alias(f"q{i}") for i, v in enumerate(numbers.values())]).first()
     key = F.lit(0).cast("long")
     for i, v in enumerate(numbers.values()):
         points = sorted(set(cuts[f"q{i}"] or []))
-        rank = F.coalesce(_bucket(v.cast("double"), points), F.lit(0))
+        rank = F.coalesce(_bucket(v, points), F.lit(0))
         for b in range(bits):
             key = key.bitwiseOR(F.shiftleft(F.shiftright(rank, b).bitwiseAND(F.lit(1)).cast("long"), b * len(by) + i))
     return key
@@ -416,9 +426,6 @@ def _bucket(value: Column, points: list[float], first: int = 0) -> Column:
     """1 + number of points not above the value, by a balanced tree of comparisons."""
     if not points:
         return F.when(value.isNotNull(), F.lit(first + 1))
-    if len(points) > 64:  # an array probe keeps the expression small
-        array = F.array(*[F.lit(p) for p in points])
-        return F.when(value.isNotNull(), F.size(F.filter(array, lambda p: p <= value)) + first + 1)
     mid = len(points) // 2
     return F.when(value < points[mid], _bucket(value, points[:mid], first)).otherwise(_bucket(value, points[mid + 1 :], first + mid + 1))
 
