@@ -18,7 +18,7 @@ SUMMARY = {"trips": "count(*)", "fare": "cast(sum(cast(fare_amount as decimal(18
 
 
 def scan_metrics(df: DataFrame) -> dict[str, int]:
-    """Files and bytes that the scans of an executed plan selected; call after an action on df."""
+    """Files and bytes that the scans of an executed plan selected; call after df.collect()."""
     files = size = 0
 
     def visit(node) -> None:
@@ -63,7 +63,7 @@ def build(source: DataFrame, root: str, *, baseline_files: int = 200, target_byt
 def timed(table: VersionedTable, where: list[Predicate]) -> tuple[float, dict, dict]:
     df = measured(table.read(where=where), [], SUMMARY)
     began = time.perf_counter()
-    row = df.first().asDict()
+    row = df.collect()[0].asDict()
     return time.perf_counter() - began, row, scan_metrics(df)
 
 
