@@ -31,7 +31,7 @@ PLACE = 30
 #: Contexts of one anchor beyond which its windows are dealt one by one.
 HOT = 4096
 #: Bytes of contexts that an engine works on at once.
-LOAD = 1 << 20
+LOAD = 1 << 19
 
 #: (bytes of each context, their numbers of windows) -> for each window in turn whether it occurs earlier
 Engine = Callable[[list[bytes], np.ndarray], np.ndarray]
