@@ -5,8 +5,8 @@
    first) shares a shingle with the prefix of every set that overlaps with it by t or more.
 3. Each set's shingles are hashed into groups; the group counts are a point. The sum of coordinate minima of two
    points (or of a point and the upper corner of an R-tree box) bounds the overlap from above.
-4. Pairs that the bound lets through are verified on the sets. First each node of a block meets the block's first
-   node, which joins nearly all copies in linear work; then an R-tree over each block that still holds several
+4. Pairs that the bound lets through are verified on the sets. First each node meets one
+   other, the first node of most of its blocks, which joins nearly all copies in linear work; then an R-tree over each block that still holds several
    components finds the remaining pairs between components. That repeats until no block held a pair back.
 5. Components of verified links, by alternating large and small stars.
 """
@@ -15,22 +15,31 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.llm._repeats import one_row_each
 from tidemill.llm._state import Steps, prepare
-from tidemill.llm._text import LOWER, PIECE, U, mix, pieces, ragged, word_hashes, word_spans
+from tidemill.llm._text import LOWER, PIECE, UNITS, Rolling, U, mix, pieces, ragged, word_hashes, word_spans
 
-#: Coordinates of a point.
-GROUPS = 32
+#: Coordinates of a point in the tree. Sets of more than FINE shingles have twice as many, of more than 2 * FINE four
+#: times, and so on; those are summed for the tree, and the finer bound judges what the tree lets through.
+GROUPS, FINE = 128, 2500
+#: A coordinate that is at least this large isn't known; it bounds nothing.
+CLIPPED, UNKNOWN = 65535, 1 << 40
 #: Words whose frequency orders shingles: a list of fixed length, whatever the corpus.
 COMMON_WORDS = 32_768
+#: Bits of the table that finds them; of words that fall on one place the more frequent one is listed.
+SLOTS = 18
+WEIGHTS = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 #: Nodes of a block that one task compares with as many others.
 CHUNK = 1024
 #: Points of a leaf of the R-tree, and children of an inner node.
 LEAF = 16
 #: Partners in one other component that a node hands on in each round; the last is at least 2 * CHUNK, so no pair is held back for good.
 ROUNDS = (2, 64, 4 * CHUNK)
+#: Pairs that a task remembers to have handed on.
+TOLD = 200_000
 #: Node ids up to this many are broadcast (16 bytes each) to find the texts of candidates; beyond, they are joined by shuffling.
 BROADCAST_NODES = 2_000_000
 
@@ -42,53 +51,57 @@ class Shingler:
         self.n, self.percent, self.common = n, threshold_percent, common
 
     def sets(self, array: pa.Array):
-        """For each run of texts: first row, and then (sets' sizes, hashes sorted by text and order key, keys)."""
-        weights = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
+        """For each run of texts: first row, end row, sizes of sets, and their hashes in the order that prefixes are taken in."""
         for first, end, data, offsets in pieces(array):
             data = LOWER[data]
             starts, ends, where = word_spans(data, offsets)
             words = word_hashes(data, starts, ends)
             count = np.diff(where)
-            grams = np.maximum(count - self.n + 1, (count > 0).astype(np.int64))
-            rows = np.repeat(np.arange(end - first), grams)
-            at = np.repeat(where[:-1], grams) + ragged(grams)
-            h = np.zeros(len(at), U)
-            level = np.zeros(len(at), np.int64)
-            rank = self.levels(words) if self.common is not None else None
-            last = where[1:][rows]
+            row = np.repeat(np.arange(end - first), count)
+            # shingles begin at each word; those that would leave their text are dropped
+            h, level = np.zeros(max(0, len(words) - self.n + 1), U), None
             for i in range(self.n):
-                inside = at + i < last
-                j = np.where(inside, at + i, 0)
-                h = (h + np.where(inside, words[j] if len(words) else U(0), U(i + 1))) * weights[i % 3] + U(i)
-                if rank is not None:
-                    level = np.maximum(level, np.where(inside, rank[j] if len(words) else 0, 0))
-            h = mix(h)
-            # rare words first: the rarest word of a shingle decides, then the hash
-            key = (h >> U(6)) | ((U(40) - level.astype(U)) << U(58)) if rank is not None else h
-            order = np.lexsort((h, key, rows))
-            rows, h, key = rows[order], h[order], key[order]
+                h = (h + words[i : i + len(h)]) * WEIGHTS[i % 3] + U(i)
+            inside = row[: len(h)] == row[self.n - 1 : self.n - 1 + len(h)]
+            if self.common is not None:
+                rank = self.levels(words)
+                level = rank[: len(h)]
+                for i in range(1, self.n):
+                    level = np.maximum(level, rank[i : i + len(h)])
+                level = level[inside]
+            h, rows = mix(h[inside]), row[: len(h)][inside]
+            short = np.flatnonzero((count > 0) & (count < self.n))
+            if len(short):  # the whole sequence is one shingle
+                roll = Rolling(words, UNITS).ranges(where[short], where[short + 1])
+                h, rows = np.concatenate([h, mix(roll ^ U(self.n))]), np.concatenate([rows, short])
+                if level is not None:
+                    level = np.concatenate([level, np.zeros(len(short), level.dtype)])
+            # within a text, rare words first: the rarest word of a shingle decides, then the hash
+            key = h if level is None else (h >> U(5)) | ((U(31) - level.astype(U)) << U(59))
+            bits = U(max(1, (end - first - 1).bit_length()))
+            packed = (key >> bits) | (rows.astype(U) << (U(64) - bits))
+            order = np.argsort(packed)
+            packed = packed[order]
+            same = np.flatnonzero(packed[1:] == packed[:-1])
+            if (h[order[same + 1]] != h[order[same]]).any():  # the bits that were cut off decide
+                order = np.lexsort((h, key, rows))
+            rows, h = rows[order], h[order]
             new = np.ones(len(h), bool)
             new[1:] = (rows[1:] != rows[:-1]) | (h[1:] != h[:-1])
-            yield first, end, np.bincount(rows[new], minlength=end - first), h[new], key[new]
+            yield first, end, np.bincount(rows[new], minlength=end - first), h[new]
 
     def levels(self, words: np.ndarray) -> np.ndarray:
         """0 to 20: how rare each word is, in halvings of the share of the most frequent one; unlisted words are rarest."""
         hashes, level = self.common
-        if not len(hashes):
-            return np.full(len(words), 20)
-        at = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
-        return np.where(hashes[at] == words, level[at], 20)
+        at = words >> U(64 - SLOTS)
+        return np.where(hashes[at] == words, level[at], np.int8(20))
 
     def prefix(self, sizes: np.ndarray) -> np.ndarray:
         return np.where(sizes > 0, sizes - -(-sizes * self.percent // 100) + 1, 0)
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-
-
 def common_words(texts: DataFrame, top: int = COMMON_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and rarity levels of the `top` most frequent words of all texts."""
+    """A table of the `top` most frequent words of all texts: hash and rarity level, placed by the first bits of the hash."""
 
     def count(batches):
         total = 0
@@ -121,15 +134,38 @@ def common_words(texts: DataFrame, top: int = COMMON_WORDS) -> tuple[np.ndarray,
 
     found = texts.select("_text").mapInArrow(count, "_word long, _n long").groupBy("_word").agg(F.sum("_n").alias("_n"))
     rows = found.orderBy(F.desc("_n"), "_word").limit(top).collect()
-    hashes = np.array([r[0] for r in rows], np.int64).view(U)
-    counts = np.array([r[1] for r in rows], float)
-    level = np.minimum(19, np.floor(np.log2(counts.max() / counts)).astype(np.int64)) if len(rows) else np.zeros(0, np.int64)
-    order = np.argsort(hashes)
-    return hashes[order], level[order]
+    table, level = np.zeros(1 << SLOTS, U), np.full(1 << SLOTS, 20, np.int8)
+    for r in reversed(rows):
+        h = int(r[0]) & (2**64 - 1)
+        table[h >> (64 - SLOTS)], level[h >> (64 - SLOTS)] = h, min(19, int(np.log2(rows[0][1] / r[1])))
+    return table, level
+
+
+def points_of(sizes: np.ndarray, h: np.ndarray) -> list[bytes]:
+    """The packed point of each set; a group is known by the first bits of the hash."""
+    n, stop = len(sizes), np.cumsum(sizes)
+    bits = GROUPS.bit_length() - 1
+    rows = np.repeat(np.arange(n), sizes)
+    coarse = np.bincount(rows * GROUPS + (h >> U(64 - bits)).astype(np.int64), minlength=n * GROUPS).reshape(n, GROUPS)
+    out = [x.tobytes() for x in np.minimum(coarse, CLIPPED).astype("<u2")]
+    for i in np.flatnonzero(sizes > FINE).tolist():
+        more = bits + int(sizes[i] // FINE).bit_length()
+        own = np.bincount((h[stop[i] - sizes[i] : stop[i]] >> U(64 - more)).astype(np.int64), minlength=1 << more)
+        out[i] = np.minimum(own, CLIPPED).astype("<u2").tobytes()
+    return out
 
 
-def _points(rows: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(rows * GROUPS + (h >> U(59)).astype(np.int64), minlength=n * GROUPS).reshape(n, GROUPS)
+def unpacked(point: bytes, groups: int | None = None) -> np.ndarray:
+    """Coordinates of a packed point, summed to fewer groups if asked."""
+    x = np.frombuffer(point, "<u2").astype(np.int64)
+    x[x == CLIPPED] = UNKNOWN
+    return x if groups is None or len(x) == groups else x.reshape(groups, -1).sum(1)
+
+
+def overlap_bound(a: bytes, b: bytes) -> int:
+    """The sum of coordinate minima: no fewer than the shingles that two sets share."""
+    groups = min(len(a), len(b)) // 2
+    return int(np.minimum(unpacked(a, groups), unpacked(b, groups)).sum())
 
 
 def describe(texts: DataFrame, shingler: Shingler) -> DataFrame:
@@ -140,9 +176,8 @@ def describe(texts: DataFrame, shingler: Shingler) -> DataFrame:
     def work(batches):
         s = sent.value
         for b in batches:
-            for first, end, sizes, h, _ in s.sets(b.column(1)):
+            for first, end, sizes, h in s.sets(b.column(1)):
                 n = end - first
-                rows = np.repeat(np.arange(n), sizes)
                 stop = np.cumsum(sizes)
                 begin = stop - sizes
                 sums = [np.concatenate([np.zeros(1, U), np.cumsum(x, dtype=U)]) for x in (mix(h ^ U(0x5851F42D4C957F2D)), mix(h + U(0x14057B7EF767814F)))]
@@ -150,14 +185,13 @@ def describe(texts: DataFrame, shingler: Shingler) -> DataFrame:
                 size = s.prefix(sizes)
                 keys = h[np.repeat(begin, size) + ragged(size)].astype("<u8").tobytes()
                 cut = np.concatenate([[0], np.cumsum(size)]) * 8
-                points = _points(rows, h, n).astype("<u4")
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(first, n),
                         pa.array(sizes.astype(np.int64)),
                         pa.array([x.tobytes() for x in names], pa.binary()),
                         pa.array([keys[cut[i] : cut[i + 1]] for i in range(n)], pa.binary()),
-                        pa.array([x.tobytes() for x in points], pa.binary()),
+                        pa.array(points_of(sizes, h), pa.binary()),
                     ],
                     ["_id", "_n", "_set", "_prefix", "_point"],
                 )
@@ -180,11 +214,20 @@ def _exploded(nodes: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets overlap enough, judged on the sets themselves."""
-    left, right = sets.select(F.col("_node").alias("b"), F.col("_items").alias("_b")), sets.select(F.col("_node").alias("a"), F.col("_items").alias("_a"))
-    both = pairs.join(left, "b").join(right, "a")
+    """Those of pairs (a, b) whose sets overlap enough, judged on the sets themselves.
+
+    pairs is a written table. If it is small enough to send, the sets of a are dealt once, to their b, and of the
+    other sets only those that some pair names; else all joins shuffle.
+    """
+    few = pairs.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+
+    def sent(df):
+        return F.broadcast(df) if few else df
+
+    left = sets.select(F.col("_node").alias("a"), F.col("_items").alias("_a")).join(sent(pairs), "a")
+    right = sets.select(F.col("_node").alias("b"), F.col("_items").alias("_b")).join(sent(pairs.select("b").distinct()), "b", "left_semi")
     common = F.size(F.array_intersect("_a", "_b"))
-    return both.filter(100 * common >= percent * (F.size("_a") + F.size("_b") - common)).select("a", "b")
+    return left.join(right, "b").filter(100 * common >= percent * (F.size("_a") + F.size("_b") - common)).select("a", "b")
 
 
 def components(edges: DataFrame, steps: Steps) -> DataFrame:
@@ -242,13 +285,13 @@ def _across(blocks: DataFrame, percent: int, most: int) -> DataFrame:
         one, two, out = [r for r in rows if r[3] == 0], [r for r in rows if r[3] == 1], []
         same = rows[0][1] == rows[0][2]
         two = two or one
-        tree = RTree(np.array([np.frombuffer(r[7], "<u4") for r in two], np.int64), np.array([r[6] for r in two]))
+        tree = RTree(np.array([unpacked(r[7], GROUPS) for r in two]), np.array([r[6] for r in two]))
         for r in one:
-            found = tree.search(np.frombuffer(r[7], "<u4").astype(np.int64), r[6], percent)
+            found = tree.search(unpacked(r[7], GROUPS), r[6], percent)
             by: dict = {}
             for i in sorted(found.tolist()):
                 o = two[i]
-                if o[5] != r[5] and (not same or o[4] < r[4]):
+                if o[5] != r[5] and (not same or o[4] < r[4]) and (r[6] <= FINE or o[6] <= FINE or (100 + percent) * overlap_bound(r[7], o[7]) >= percent * (r[6] + o[6])):
                     n = by[o[5]] = by.get(o[5], 0) + 1
                     out.append((r[4], o[4], False) if n <= most else (None, None, True))
                     if n > most:
@@ -257,8 +300,12 @@ def _across(blocks: DataFrame, percent: int, most: int) -> DataFrame:
 
     def work(batches):
         key, rows = None, []
+        told: set[tuple] = set()  # a pair can meet in many blocks of a task
 
         def out(rows):
+            if len(told) > TOLD:
+                told.clear()
+            rows = [r for r in rows if not (r in told or told.add(r))] or rows[:1]
             a, b, held = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(a, keyed), pa.array(b, keyed), pa.array(held, pa.bool_())], ["a", "b", "held"])
 
@@ -279,18 +326,18 @@ def _across(blocks: DataFrame, percent: int, most: int) -> DataFrame:
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 5, threshold_percent: int = 80) -> DataFrame:
-    """One row per row of docs: id, n_shingles (size of its set), component_id (smallest id linked with it, directly or not).
+    """One row per document: id, n_shingles (size of its set), component_id (smallest id linked with it, directly or not).
 
     Words are maximal runs without ASCII white space, A-Z lower-cased; a shingle is n consecutive words (all of
     them, if there are fewer). Documents link if 100 * intersection >= threshold_percent * union. Null, empty or
-    blank texts have empty sets and link with nothing. Rows that repeat an id count as one document each time
-    they come. An empty table gives no rows; other columns are not read. A null id is no document: its rows are
-    left out.
+    blank texts have empty sets and link with nothing. Ids are integers; of rows that repeat an id only the smallest
+    text counts and gets a row; rows without an id are left out. An empty table gives no rows; other columns are
+    not read.
     """
     spark = docs.sparkSession
     prepare(spark)
     steps = Steps(spark, "ngram-join")
-    texts = _texts(docs, id_col, text_col).filter("_id is not null")
+    texts = one_row_each(docs, id_col, text_col)
     shingler = Shingler(n, threshold_percent, common_words(texts))
     described = steps.put(describe(texts, shingler), "sets")
     members = described.filter("_n > 0").groupBy("_set").agg(F.min("_id").alias("_node"))
@@ -300,7 +347,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = _exploded(nodes).select("_key", "_node", F.first("_node").over(group.rowsBetween(Window.unboundedPreceding, 0)).alias("_first"), F.lead("_node").over(group).alias("_next"))
     blocks = steps.put(blocks.filter("_first != _node or _next is not null").filter("_first != _node or _next != _node").select("_key", "_node", "_first"), "blocks")
     points = nodes.select("_node", "_n", "_point")
-    links = _resolve(spark, steps, texts, blocks, points, shingler)
+    links = _resolve(steps, texts, blocks, points, shingler)
     roots = components(links, steps)
     return (
         described.select("_id", "_n")
@@ -310,21 +357,24 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def _resolve(spark: SparkSession, steps: Steps, texts: DataFrame, blocks: DataFrame, points: DataFrame, shingler: Shingler) -> DataFrame:
+def _resolve(steps: Steps, texts: DataFrame, blocks: DataFrame, points: DataFrame, shingler: Shingler) -> DataFrame:
     """Verified links (a, b) that connect just what all links connect."""
     percent = shingler.percent
-    ids = steps.put(blocks.select("_node").distinct(), "candidates")
-    sets = steps.put(_sets_of(texts, ids, shingler), "candidate-sets")
-    near = points.join(ids, "_node", "left_semi")
-    near = steps.put(near, "points")
-    stars = blocks.filter("_first != _node").select(F.col("_node").alias("a"), F.col("_first").alias("b")).distinct()
-    stars = stars.filter("a != b").join(near.select(F.col("_node").alias("a"), F.col("_n").alias("_na")), "a").join(near.select(F.col("_node").alias("b"), F.col("_n").alias("_nb")), "b")
-    stars = stars.filter(100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")).select("a", "b")
-    tried = steps.put(stars, "stars")
-    links = steps.put(verified(tried, sets, percent), "links")
+    # blocks of the same nodes are one block with their number
+    named = blocks.groupBy("_key").agg(F.count("*").alias("_size"), F.sum(F.xxhash64("_node").cast("decimal(20,0)")).alias("_sum"))
+    named = named.groupBy("_size", "_sum").agg(F.min("_key").alias("_key"), F.count("*").alias("_times"))
+    blocks = steps.put(blocks.join(named.select("_key", "_times"), "_key"), "distinct-blocks")
+    near = steps.put(points.join(blocks.select("_node").distinct(), "_node", "left_semi"), "points")
+    # each node meets the first node that it shares most blocks with
+    shared = blocks.filter("_first != _node").groupBy("_node", "_first").agg(F.sum("_times").alias("_c"))
+    stars = shared.groupBy("_node").agg(F.max_by("_first", F.struct("_c", -F.col("_first"))).alias("b")).withColumnRenamed("_node", "a")
+    stars = stars.join(near.select(F.col("_node").alias("a"), F.col("_n").alias("_na"), F.col("_point").alias("_pa")), "a")
+    stars = stars.join(near.select(F.col("_node").alias("b"), F.col("_n").alias("_nb"), F.col("_point").alias("_pb")), "b")
+    tried = steps.put(_bounded(stars, percent), "stars")
+    links = steps.put(verified(tried, _sets_of(steps, texts, tried, shingler), percent), "links")
     for most in ROUNDS:
         roots = components(links, steps)
-        labelled = blocks.select("_key", "_node").distinct().join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
+        labelled = blocks.select("_key", "_node").join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
         several = labelled.groupBy("_key").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.count("*").alias("_size")).filter("_lo != _hi").select("_key", "_size")
         left = labelled.join(several, "_key").join(near, "_node")
         # blocks of more than CHUNK nodes are cut by size; each two of their chunks make a block of their own
@@ -335,25 +385,38 @@ def _resolve(spark: SparkSession, steps: Steps, texts: DataFrame, blocks: DataFr
         held = found.filter("held").limit(1).count()
         fresh = found.filter("not held").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         fresh = steps.put(fresh, "pairs")
-        more = steps.put(verified(fresh, sets, percent), "links")
-        tried, links = tried.unionByName(fresh), links.unionByName(more)
+        if fresh.limit(1).count():
+            more = steps.put(verified(fresh, _sets_of(steps, texts, fresh, shingler), percent), "links")
+            tried, links = tried.unionByName(fresh), links.unionByName(more)
         if not held:
             break
     return links
 
 
-def _sets_of(texts: DataFrame, ids: DataFrame, shingler: Shingler) -> DataFrame:
-    """(_node, _items: array<long>) of the documents named by ids, from their texts."""
+def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sizes and points (_na, _nb, _pa, _pb) let their overlap reach the threshold."""
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def work(batches):
+        for batch in batches:
+            na, nb, one, two = (batch.column(i).to_pylist() for i in range(2, 6))
+            near = [(100 + percent) * overlap_bound(p, q) >= percent * (x + y) for x, y, p, q in zip(na, nb, one, two, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+
+    return pairs.select("a", "b", "_na", "_nb", "_pa", "_pb").mapInArrow(work, f"a {kind}, b {kind}")
+
+
+def _sets_of(steps: Steps, texts: DataFrame, pairs: DataFrame, shingler: Shingler) -> DataFrame:
+    """(_node, _items: array<long>) of the nodes in pairs, made from their texts and written."""
     kind = texts.schema["_id"].dataType.simpleString()
     sent = texts.sparkSession.sparkContext.broadcast(Shingler(shingler.n, shingler.percent))
 
     def work(batches):
         for b in batches:
-            for first, end, sizes, h, _ in sent.value.sets(b.column(1)):
+            for first, end, sizes, h in sent.value.sets(b.column(1)):
                 items = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), items], ["_node", "_items"])
 
+    ids = steps.put(pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct(), "named")
     few = ids.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-    ids = ids.select(F.col("_node").alias("_id"))
-    wanted = texts.join(F.broadcast(ids) if few else ids, "_id", "left_semi")
-    return wanted.mapInArrow(work, f"_node {kind}, _items array<long>").dropDuplicates(["_node"])
+    return steps.put(texts.join(F.broadcast(ids) if few else ids, "_id", "left_semi").mapInArrow(work, f"_node {kind}, _items array<long>"), "sets")
