@@ -382,6 +382,11 @@ def render_commit(c: dict[str, Any]) -> str:
     return "\n".join(lines)
 
 
+def _month_number(month: str) -> int:
+    year, number = month.split("-")
+    return int(year) * 12 + int(number)
+
+
 def made_up(lake: Lakehouse, months: list[str], rows: int = 400) -> dict[str, Callable[[], Any]]:
     """Steps over generated trip files, for rehearsals without downloads."""
     spark = lake.spark
@@ -389,7 +394,7 @@ def made_up(lake: Lakehouse, months: list[str], rows: int = 400) -> dict[str, Ca
     def bronze():
         out = []
         for i, m in enumerate(months):
-            earlier = months[i - 1] if i else None
+            earlier = months[i - 1] if i and _month_number(months[i - 1]) == _month_number(m) - 1 else None
             df, _ = generate.month_file(spark, m, rows, previous=earlier)
             path = f"{lake.folder.root}/raw/trips/{m}"
             lake.folder.delete(f"raw/trips/{m}")
