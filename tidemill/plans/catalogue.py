@@ -100,7 +100,7 @@ def csv_json_roundtrip(spark, d):
     table(spark, d, "region").write.json(f"{at}/region")
     left = readers.csv_text(spark, f"{at}/nation").select(*[F.col(c).try_cast(t).alias(c) for c, t in (("n_nationkey", "int"), ("n_name", "string"), ("n_regionkey", "int"))])
     right = readers.json_lines(spark, f"{at}/region", "r_regionkey int, r_name string")
-    return left.join(F.broadcast(right), F.col("n_regionkey") == F.col("r_regionkey")).drop("r_regionkey")
+    return left.join(marts.small(right), F.col("n_regionkey") == F.col("r_regionkey")).drop("r_regionkey")
 
 
 @query("file_census", "SELECT CAST(count(*) AS BIGINT) AS rows FROM orders")
@@ -384,8 +384,8 @@ FROM (SELECT user_id, count(*) AS n, avg(CASE WHEN event_type = (SELECT min(even
 )
 def membership_verdicts(spark, d):
     e = table(spark, d, "events")
-    first = e.agg(F.min("event_type").alias("first"))
-    trips = e.crossJoin(F.broadcast(first)).select(F.col("user_id").alias("PULocationID"), F.lit("2025-02-01").cast("date").alias("pickup_date"), F.when(F.col("event_type") == F.col("first"), 0.75).otherwise(0.0).alias("cbd_congestion_fee"))
+    first = e.agg(F.min("event_type")).first()[0]
+    trips = e.select(F.col("user_id").alias("PULocationID"), F.lit("2025-02-01").cast("date").alias("pickup_date"), F.when(F.col("event_type") == first, 0.75).otherwise(0.0).alias("cbd_congestion_fee"))
     zones = e.select(F.col("user_id").alias("LocationID")).distinct().withColumns({"zone": F.lit("z"), "borough": F.lit("b"), "is_cbd": F.col("LocationID") % 2 == 0})
     out = marts.verdicts(trips, zones, least=20, listed_from=0.25, unlisted_from=0.3)
     return out.select(F.col("PULocationID").alias("user_id"), F.col("pickups").alias("n"), "verdict")
