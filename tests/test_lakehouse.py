@@ -154,3 +154,34 @@ def test_settings_are_restored(spark):
     with settings(spark, spark__sql__shuffle__partitions="7"):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "7"
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_manifest_and_fallback_list(spark, tmp_path):
+    for name, month in (("a", "2024-02"), ("b", "2025-01")):
+        generate.month_file(spark, month, 60)[0].coalesce(1).write.parquet(str(tmp_path / name))
+    m = readers.manifest(spark, {n: str(tmp_path / n) for n in "ab"})
+    assert m["files"]["a"]["rows"] == 74 and m["drift"]["cbd_congestion_fee"]["a"] == "MISSING" and not m["events"]
+    changed = {"files": {"a": m["files"]["a"] | {"sha256": "x"}}}
+    assert readers.manifest(spark, {"a": str(tmp_path / "a")}, changed)["events"][0]["type"] == "REPUBLISHED"
+    found = {r[0]: r[1] for r in readers.fallback_members(spark).groupBy("source").count().collect()}
+    assert sorted(found.values()) == [5, 33]
+
+
+def test_fixture_files(spark, tmp_path):
+    counts = generate.write_fixture(spark, str(tmp_path / "f"), batches=1, rows=100, dates=1, starts=2, ends=3, fares=4, copies=5)
+    df = readers.json_lines(spark, str(tmp_path / "f/batch_1"), generate.FIXTURE_DDL)
+    lake = lakehouse.Lakehouse(spark, str(tmp_path / "lake"))
+    assert lake.fixture({"b": df}, counts)["MISSING_LOCATION"] == 5
+
+
+def test_diagnose_and_sweeps(lake):
+    assert "negative_fares" in lake.diagnose()
+    df = lake.trips.read().groupBy("PULocationID").count()
+    assert len(layouts.shuffle_sweep(df, [2, 4])) == 4
+    small = lake.zones.read().hint("broadcast")
+    joined = lake.trips.read().join(small, F.col("PULocationID") == F.col("LocationID"))
+    assert layouts.join_kinds(joined) == ["BroadcastHashJoin"]
+    merged = lake.trips.read().hint("merge").join(lake.zones.read(), F.col("PULocationID") == F.col("LocationID"))
+    assert layouts.join_kinds(merged) == ["SortMergeJoin"]
+    sweep = layouts.size_sweep(lake.trips.read().drop("dq_flags"), f"{lake.folder.root}/sweeps", [("PULocationID", "=", 132)], ["PULocationID"], [16 << 10, 64 << 10])
+    assert sweep[0]["files"] > sweep[1]["files"] and all(s["selected"] <= s["files"] for s in sweep)

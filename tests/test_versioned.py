@@ -73,6 +73,11 @@ def test_merge_keeps_what_the_source_lacks(spark, table):
     assert got[1]["part"] == 1 and got[500]["part"] is None
 
 
+def test_merge_finds_rows_in_other_partitions(spark, table):
+    done = table.merge(spark.createDataFrame([(4, 2, "moved")], "id long, part int, hash string"), ["id"], "hash")
+    assert (done["inserted"], done["updated"]) == (0, 1) and table.read().filter("id = 4").collect()[0]["part"] == 2
+
+
 def test_merge_refuses_repeated_keys(spark, table):
     with pytest.raises(ValueError, match="several"):
         table.merge(numbers(spark, 0, 1).unionByName(numbers(spark, 0, 1)), ["id"], "hash")
@@ -149,3 +154,21 @@ def test_diff(spark, table):
     table.delete([("id", "=", 0)])
     got = {r["change"]: r["count"] for r in table.diff(0, 2, ["id"], ["hash"]).groupBy("change").count().collect()}
     assert got == {"added": 2, "changed": 1, "removed": 1}
+
+
+def test_restore_and_versions_by_time(spark, table):
+    import time
+    from datetime import UTC, datetime
+
+    table.append(numbers(spark, 100, 110).withColumn("extra", F.lit(1)), evolve=True)
+    between = datetime.fromtimestamp(time.time(), UTC).replace(tzinfo=None)
+    time.sleep(0.05)
+    table.delete([("id", "<", 50)])
+    assert table.version_at(between) == 1
+    assert table.restore(0) == 3
+    assert table.read().columns == ["id", "part", "hash"] and table.read().count() == 100
+    table.vacuum(0, unsafe=True)
+    with pytest.raises(ValueError, match="vacuumed"):
+        table.restore(2)
+    with pytest.raises(ValueError):
+        table.version_at(datetime(2000, 1, 1))

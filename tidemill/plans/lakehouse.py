@@ -26,7 +26,7 @@ LEDGER = (
     "batch_id string, source_month string, landed_version bigint, landed_rows bigint, accepted_rows bigint, rejected_rows bigint, "
     "inserted bigint, updated bigint, noop bigint, trips_version bigint, reasons string, flags string"
 )
-STEPS = ("reference", "bronze", "profile", "silver", "cdc", "evolution", "time_travel", "gold", "benchmark")
+STEPS = ("reference", "bronze", "profile", "silver", "cdc", "evolution", "time_travel", "gold", "diagnose", "benchmark")
 
 
 @dataclass
@@ -254,6 +254,17 @@ class Lakehouse:
         self.folder.write("evidence/profile.md", "\n".join(f"## {name}\n\n{render_table(rows)}" for name, rows in found.items()))
         return found
 
+    def diagnose(self) -> dict[str, Any]:
+        """Why unusual numbers look as they do: gaps of totals, trips without duration, negative fares, blocks of nulls."""
+        df = self.landed.read()
+        tables = {
+            "gaps": profile.gaps_by_month(df), "common_gaps": profile.common_gaps(df), "common_gaps_by_year": profile.common_gaps_by_year(df),
+            "zero_durations": profile.zero_durations(df), "negative_fares": profile.negative_fares(df), "null_blocks": profile.null_blocks(df),
+        }
+        found = {name: [r.asDict() for r in t.collect()] for name, t in tables.items()}
+        self.folder.write("evidence/findings.md", "\n".join(f"## {name}\n\n{render_table(rows)}" for name, rows in found.items()))
+        return found
+
     def gold(self, months: list[str] | None = None) -> dict[str, Any]:
         """The four marts from one pinned version, checked against SQL over the same version."""
         version = self.trips.version()
@@ -409,6 +420,7 @@ def made_up(lake: Lakehouse, months: list[str], rows: int = 400) -> dict[str, Ca
         "reference": lambda: lake.reference(generate.zone_lookup(spark), generate.area_members(spark)),
         "bronze": bronze,
         "profile": lake.profiled,
+        "diagnose": lake.diagnose,
         "silver": lake.silver,
         "cdc": lake.cdc,
         "evolution": lake.evolution,

@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.functions.session import settings
 from tidemill.operators.marts import measured
 from tidemill.sources.versioned import Predicate, VersionedTable
 
@@ -45,6 +46,19 @@ def join_kinds(df: DataFrame) -> list[str]:
     return [k for k in ("BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin", "BroadcastNestedLoopJoin") if k in text]
 
 
+def shuffle_sweep(df: DataFrame, partitions: list[int]) -> list[dict[str, float]]:
+    """Seconds of one query for several numbers of shuffle partitions, with and without adaptive execution."""
+    spark, out = df.sparkSession, []
+    for n in partitions:
+        for adaptive in (True, False):
+            with settings(spark, spark__sql__shuffle__partitions=n, spark__sql__adaptive__enabled=str(adaptive).lower()):
+                began = time.perf_counter()
+                # a new plan, so that the settings take part
+                df.select("*").write.format("noop").mode("overwrite").save()
+                out.append({"partitions": n, "adaptive": adaptive, "seconds": round(time.perf_counter() - began, 3)})
+    return out
+
+
 def build(source: DataFrame, root: str, *, baseline_files: int = 200, target_bytes: int = 32 << 20) -> dict[str, VersionedTable]:
     """The same rows in each layout."""
     out = {}

@@ -187,3 +187,13 @@ def evolution_batch(spark: SparkSession, rows: int = 100) -> DataFrame:
     kinds = dict(p.split() for p in FIXTURE_DDL.split(", "))
     text = {c: F.date_format(F.col(c).cast("timestamp"), "yyyy-MM-dd HH:mm:ss") for c in ("tpep_pickup_datetime", "tpep_dropoff_datetime")}
     return trips.withColumns(text).select(*[F.col(c).cast(kinds[c]).alias(c) for c in names], F.round(0.5 + (F.col("id") % 10) * 0.25, 2).alias("surcharge_fee"))
+
+
+def write_fixture(spark: SparkSession, folder: str, batches: int = 3, rows: int = 1000, **defects: int) -> dict[str, int]:
+    """Write fixture batches as JSON Lines below a folder; returns the counts that processing must find."""
+    total: dict[str, int] = {}
+    for n in range(1, batches + 1):
+        df, counts = fixture_batch(spark, n, rows, **defects)
+        df.coalesce(1).write.option("ignoreNullFields", False).json(f"{folder}/batch_{n}")
+        total = {k: total.get(k, 0) + v for k, v in counts.items()}
+    return total

@@ -7,6 +7,7 @@ rewrites skip files; what is skipped never changes a result, as predicates are a
 
 from __future__ import annotations
 
+import calendar
 import json
 import math
 import time
@@ -243,7 +244,7 @@ class VersionedTable:
             twice = source.dropna(subset=keys).groupBy(*[named(k) for k in keys]).count().filter("count > 1").limit(1).collect()
             if twice:
                 raise ValueError(f"several source rows have the key {twice[0].asDict()}")
-            where = self._bounds(source, s.layout.partition)
+            where = self._bounds(source, [c for c in s.layout.partition if c in keys])
             listed = [p for p, f in s.files.items() if may_hold(f, where)]
             target = self._frame(s, only=listed)
             file = F.col("_metadata.file_path") if listed else F.lit("")
@@ -273,7 +274,7 @@ class VersionedTable:
         return result | {"copied": copied, "files_removed": len(touched), "files_added": len(rewritten) + len(added), "version": version}
 
     def _bounds(self, source: DataFrame, partition: Iterable[str], most: int = 1000) -> list[Predicate]:
-        """Partition values that the source touches, as a predicate on files; none if there are too many."""
+        """Values that the source has in partition columns which are keys, as a predicate on files; none if there are too many."""
         out = []
         for c in partition:
             found = source.select(named(c).alias("v")).distinct().limit(most + 1).collect()
@@ -282,6 +283,24 @@ class VersionedTable:
                 out.append((c, "in", values))
         return out
 
+    def version_at(self, when: datetime) -> int:
+        """The latest version committed at or before a time (naive: UTC)."""
+        limit = calendar.timegm(when.utctimetuple()) * 1000 + when.microsecond // 1000
+        found = [v for v in self.log.versions() if self.log.commit(v)["info"]["timestamp"] <= limit]
+        if not found:
+            raise ValueError(f"{self.folder.root} has no version as of {when}")
+        return found[-1]
+
+    def restore(self, version: int, *, user_metadata: dict | None = None) -> int:
+        """Make an earlier version the latest again, in one commit that writes no data; its files must still be there."""
+        s, old = self.log.snapshot(), self.log.snapshot(version)
+        there = {p for p, _, _ in self.folder.walk("data")}
+        lost = sorted(set(old.files) - there)
+        if lost:
+            raise ValueError(f"version {version} can't be restored; {len(lost)} of its files were vacuumed")
+        add = [f for p, f in old.files.items() if p not in s.files]
+        return self._commit(s.version, "RESTORE", add, [p for p in s.files if p not in old.files], layout=None if old.layout == s.layout else old.layout, parameters={"version": version}, user_metadata=user_metadata)
+
     # ---- layout ----
 
     def optimize(self, target_bytes: int, *, by: Iterable[str] = (), user_metadata: dict | None = None) -> dict[str, int]:
