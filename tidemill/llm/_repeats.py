@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm._state import Steps, prepare
-from tidemill.llm._text import BYTE, BYTES, UNITS, Rolling, U, mix, pieces, ragged, sliding_min, word_hashes, word_spans
+from tidemill.llm._text import BYTE, BYTES, U, UNITS, Rolling, mix, pieces, ragged, sliding_min, tidy, word_hashes, word_spans
 
 #: Low bits of a k-gram's order value that hold its place in the piece of text at hand.
 PLACE = 30
 #: Contexts of one anchor beyond which its windows are dealt one by one.
 HOT = 4096
+#: Frequent anchors up to this many are broadcast.
+BROADCAST_ANCHORS = 500_000
 #: Bytes of contexts that an engine works on at once.
 LOAD = 1 << 19
 
@@ -118,7 +120,7 @@ def _slim(texts: DataFrame, plan: Plan) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (spread, spread, i, s, e - s, np.ones(len(i), bool))], names)
 
     names = ["_anchor", "_ctx", "_id", "_start", "_n", "_dup"]
-    return texts.mapInArrow(work, "_anchor long, _ctx long, _id long, _start long, _n long, _dup boolean")
+    return texts.mapInArrow(tidy(work), "_anchor long, _ctx long, _id long, _start long, _n long, _dup boolean")
 
 
 def _marks(slim: DataFrame, plan: Plan) -> DataFrame:
@@ -175,13 +177,14 @@ def _marks(slim: DataFrame, plan: Plan) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in both] + [pa.array(np.concatenate(kinds), pa.int32())], ["_id", "_start", "_n", "_anchor", "_kind"])
 
     dealt = slim.repartition("_anchor").sortWithinPartitions("_anchor", "_ctx", "_id", "_start")
-    return dealt.mapInArrow(work, MARK)
+    return dealt.mapInArrow(tidy(work), MARK)
 
 
 def _cut(texts: DataFrame, compare: DataFrame, plan: Plan) -> DataFrame:
     """(_key, _id, _start, _n, _bytes) of contexts to compare; of frequent anchors, of each window."""
     hot = compare.groupBy("_anchor").agg(F.count("*").alias("_c")).filter(F.col("_c") > HOT).select("_anchor", F.lit(True).alias("_hot"))
-    listed = compare.join(hot, "_anchor", "left").groupBy("_id").agg(F.collect_list(F.struct("_start", "_n", "_anchor", F.coalesce("_hot", F.lit(False)).alias("_hot"))).alias("_list"))
+    few = hot.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS
+    listed = compare.join(F.broadcast(hot) if few else hot, "_anchor", "left").groupBy("_id").agg(F.collect_list(F.struct("_start", "_n", "_anchor", F.coalesce("_hot", F.lit(False)).alias("_hot"))).alias("_list"))
 
     def work(batches):
         for b in batches:
@@ -213,7 +216,7 @@ def _cut(texts: DataFrame, compare: DataFrame, plan: Plan) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), ids, pa.array(start), pa.array(n), pa.array(texts_, pa.binary())], ["_key", "_id", "_start", "_n", "_bytes"])
 
     joined = texts.join(listed, "_id").select("_id", "_text", "_list")
-    return joined.mapInArrow(work, "_key long, _id long, _start long, _n long, _bytes binary")
+    return joined.mapInArrow(tidy(work), "_key long, _id long, _start long, _n long, _bytes binary")
 
 
 def _compared(cut: DataFrame, plan: Plan) -> DataFrame:
@@ -253,7 +256,7 @@ def _compared(cut: DataFrame, plan: Plan) -> DataFrame:
             yield judge(rows, fresh)[0]
 
     dealt = cut.repartition("_key").sortWithinPartitions("_key", "_id", "_start")
-    return dealt.mapInArrow(work, "_id long, _start long, _n long")
+    return dealt.mapInArrow(tidy(work), "_id long, _start long, _n long")
 
 
 def one_row_each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -323,4 +326,4 @@ def without_repeats(docs: DataFrame, id_col: str, text_col: str, plan: Plan, nam
 
     joined = texts.join(gone, "_id", "left").select("_id", "_text", "_gone")
     schema = "_id long, n_units long, n_removed long, n_spans long, removed array<struct<start:long,end:long>>, kept binary"
-    return joined.mapInArrow(work, schema).withColumnRenamed("_id", id_col)
+    return joined.mapInArrow(tidy(work), schema).withColumnRenamed("_id", id_col)

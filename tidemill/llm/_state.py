@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,8 +28,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once in an application; workers need not find it where the driver does."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidemill_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    folder = Path(tempfile.mkdtemp(prefix="tidemill-")).resolve()  # the driver serves it from here as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(folder / "tidemill.zip", "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(folder / "tidemill.zip"))
+    sc._tidemill_shipped = True
+
+
 def prepare(spark: SparkSession) -> None:
-    """Session settings that the operators rely on."""
+    """Session settings that the operators rely on, and the package on all executors."""
+    ship(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +15,20 @@ U = np.uint64
 PIECE = 1 << 20
 
 
+def tidy(work):
+    """The same function of batches, after which a worker gives freed memory back; workers outlive tasks."""
+
+    def run(batches):
+        yield from work(batches)
+        for powers in (BYTES, UNITS):
+            powers.shrink()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (the splitmix64 finaliser)."""
     x = x ^ (x >> U(30))
@@ -41,12 +57,17 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * PIECE)
+            size = max(n, PIECE + PIECE // 8)
             up, down = np.full(size, U(self.base)), np.full(size, U(_inverse(self.base)))
             up[0] = down[0] = 1
             self.up, self.down = np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
         return self.up[:n], self.down[:n]
 
+    def shrink(self) -> None:
+        """Forget powers that only a very long text needed."""
+        if len(self.up) > 2 * PIECE:
+            self.up, self.down = np.ones(1, U), np.ones(1, U)
+
 
 BYTES, UNITS = Powers(0x9E6C63D0876A9A47), Powers(0xD1342543DE82EF95)
 

@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm._state import prepare
+from tidemill.llm._text import tidy
 
 #: Fixed: the pattern by which byte-level BPE splits a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose ids a worker remembers; beyond, it starts anew. Longer pieces aren't remembered.
-REMEMBERED, LONGEST = 600_000, 64
+REMEMBERED, LONGEST = 400_000, 48
 #: Bytes of text after which a worker hands on a batch.
 BATCH = 4 << 20
 
@@ -158,5 +159,5 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             if rows:
                 yield out(rows)
 
-    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(work, f"_id {kind}, ids binary, n_tokens long, decoded string")
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(tidy(work), f"_id {kind}, ids binary, n_tokens long, decoded string")
     return found.withColumnRenamed("_id", id_col)

@@ -27,16 +27,9 @@ def digest(text: str) -> F.Column:
 
 def heavy_winners(digests: DataFrame, id_col: str, max_heavy: int, counters: int, least: int) -> DataFrame:
     """(_digest, _keep, _size) of frequent digests: exact, and at most max_heavy rows but for hash collisions."""
-    spark = digests.sparkSession
     sketch = digests.select(F.xxhash64("_digest").alias("h")).select(F.expr(f"approx_top_k(h, {max_heavy}, {counters})").alias("top"))
-    named = [(x["item"],) for x in (sketch.first()["top"] or []) if x["count"] >= least]
-    named = spark.createDataFrame(named, "_h long")
-    return (
-        digests.withColumn("_h", F.xxhash64("_digest"))
-        .join(F.broadcast(named), "_h", "left_semi")
-        .groupBy("_digest")
-        .agg(F.max(id_col).alias("_keep"), F.count("*").alias("_size"))
-    )
+    named = [x["item"] for x in (sketch.first()["top"] or []) if x["count"] >= least]
+    return digests.filter(F.xxhash64("_digest").isin(named)).groupBy("_digest").agg(F.max(id_col).alias("_keep"), F.count("*").alias("_size"))
 
 
 def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_heavy: int = 1024, counters: int = 65536, least: int = 64) -> DataFrame:

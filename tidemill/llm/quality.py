@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm._features import adam, labelled_sample, matrices
 from tidemill.llm._state import prepare
+from tidemill.llm._text import tidy
 
 #: Labelled rows for each combination of labels that the model is fitted on, at most.
 SAMPLE = 800
@@ -93,7 +94,7 @@ def score(docs: DataFrame, model: Ordinal | None, id_col: str = "doc_id", text_c
                 tails = sent.value.tails(x).astype(float)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), pa.array(tails.sum(1)), pa.array(tails[:, 0]), pa.array(tails[:, 0] >= 0.5)], ["_id", "expected_grade", "p_good", "keep"])
 
-    return rows.mapInArrow(work, f"_id {kind}, expected_grade double, p_good double, keep boolean").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(tidy(work), f"_id {kind}, expected_grade double, p_good double, keep boolean").withColumnRenamed("_id", id_col)
 
 
 def select(docs: DataFrame, model: Ordinal | None, text_col: str = "text") -> DataFrame:
@@ -111,4 +112,4 @@ def select(docs: DataFrame, model: Ordinal | None, text_col: str = "text") -> Da
                 keep[first:end] = sent.value.tails(x)[:, 0] >= 0.5
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(tidy(work), docs.schema)

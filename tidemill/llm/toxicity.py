@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm._features import SHAPES, adam, labelled_sample, shapes, word_rows
 from tidemill.llm._state import prepare
-from tidemill.llm._text import U, pieces
+from tidemill.llm._text import U, pieces, tidy
 
 #: Categories in the order of the chain: name, label column, label value that counts.
 CHAIN = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
@@ -161,4 +161,4 @@ def score(docs: DataFrame, model: Chain | None, id_col: str = "doc_id", text_col
                 cols = [x for i in range(len(names)) for x in (pa.array(p[:, i]), pa.array(p[:, i] > 0.5))]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), *cols], ["_id", *[x for c in names for x in (f"p_{c}", c)]])
 
-    return rows.mapInArrow(work, f"_id {kind}, " + ", ".join(f"p_{c} double, {c} boolean" for c in names)).withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(tidy(work), f"_id {kind}, " + ", ".join(f"p_{c} double, {c} boolean" for c in names)).withColumnRenamed("_id", id_col)

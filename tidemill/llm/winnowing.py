@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm._repeats import one_row_each
 from tidemill.llm._state import prepare
-from tidemill.llm._text import UNITS, Rolling, U, mix, ragged, sliding_min
+from tidemill.llm._text import U, UNITS, Rolling, mix, ragged, sliding_min, tidy
 
 K, WINDOW = 12, 16
 #: Code points that are worked on at once.
@@ -101,7 +101,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 )
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInArrow(work, f"_id {kind}, n_chars long, hashes array<long>, places array<int>").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(tidy(work), f"_id {kind}, n_chars long, hashes array<long>, places array<int>").withColumnRenamed("_id", id_col)
 
 
 def _loads(texts: list[str]):
@@ -194,6 +194,6 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield out(rows)
 
     names = ["_part", "_tail", "_id", "_text"]
-    dealt = texts.mapInArrow(deal, "_part long, _tail boolean, _id long, _text string").repartition(ranges, "_part").sortWithinPartitions("_part", "_tail", F.desc("_id"))
+    dealt = texts.mapInArrow(tidy(deal), "_part long, _tail boolean, _id long, _text string").repartition(ranges, "_part").sortWithinPartitions("_part", "_tail", F.desc("_id"))
     schema = "_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.mapInArrow(work, schema).withColumnRenamed("_id", id_col)
+    return dealt.mapInArrow(tidy(work), schema).withColumnRenamed("_id", id_col)
