@@ -57,6 +57,7 @@ class Steps:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.tables: dict[int, tuple[DataFrame, str]] = {}
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and read it back. Shuffle files of what led to it can then go."""
@@ -66,7 +67,25 @@ class Steps:
         df.write.option("compression", "zstd").parquet(path)
         del df
         self.free()
-        return self.spark.read.schema(schema).parquet(path)
+        found = self.spark.read.schema(schema).parquet(path)
+        self.tables[id(found)] = (found, path)
+        return found
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables of this run that no plan still to be run reads."""
+        for t in tables:
+            if id(t) in self.tables:
+                self._delete(self.tables.pop(id(t))[1])
+
+    def finish(self, df: DataFrame, name: str) -> DataFrame:
+        """Write the result and delete all other tables of this run."""
+        found = self.put(df, name)
+        self.drop(*[t for t, _ in self.tables.values() if t is not found])
+        return found
+
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
     def free(self) -> None:
         """Spark drops the shuffle files of collected plans when the JVM collects its garbage."""
