@@ -92,7 +92,7 @@ def flight(size: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
         for j, e in zip(hold, d, strict=True):
             p[j] = min(1.0, max(0.0, p[j] + step * e))
         hold = [j for j in hold if EPS < p[j] < 1 - EPS]
-    return np.where(p > 1 - EPS, 1.0, np.where(p < EPS, 0.0, p))
+    return np.where(p >= 1 - EPS, 1.0, np.where(p <= EPS, 0.0, p))
 
 
 def landing(size: np.ndarray, p: np.ndarray, want: float) -> np.ndarray:
