@@ -183,7 +183,7 @@ def test_rtree_finds_what_a_scan_finds():
     for i in range(0, 500, 7):
         bound = np.minimum(points, points[i]).sum(1)
         want = np.flatnonzero(190 * bound >= 90 * (sizes[i] + sizes))
-        assert sorted(tree.search(points[i], int(sizes[i]), 90)) == want.tolist()
+        assert sorted(tree.search(points[i], int(sizes[i]), 90)[0]) == want.tolist()
 
 
 def test_points_bound_the_overlap():

@@ -20,15 +20,15 @@ from pyspark.sql import functions as F
 
 from tidemill.llm._repeats import one_row_each
 from tidemill.llm._state import Steps, prepare
-from tidemill.llm._text import LOWER, PIECE, UNITS, Rolling, U, mix, pieces, ragged, word_hashes, word_spans
+from tidemill.llm._text import LOWER, PIECE, U, UNITS, Rolling, mix, pieces, ragged, tidy, word_hashes, word_spans
 
 #: Coordinates of a point in the tree. Sets of more than FINE shingles have twice as many, of more than 2 * FINE four
 #: times, and so on; those are summed for the tree, and the finer bound judges what the tree lets through.
-GROUPS, FINE = 128, 2500
-#: A coordinate that is at least this large isn't known; it bounds nothing.
-CLIPPED, UNKNOWN = 65535, 1 << 40
-#: Words whose frequency orders shingles: a list of fixed length, whatever the corpus.
-COMMON_WORDS = 32_768
+GROUPS, FINE = 512, 10_000
+#: Coordinates are bytes; one that is at least CLIPPED isn't known and counts as UNKNOWN, which bounds nothing.
+CLIPPED, UNKNOWN = 255, 1 << 24
+#: Words whose frequency orders shingles: those that are one of so many words of the corpus or more, so never more than that.
+COMMON_SHARE = 65_536
 #: Bits of the table that finds them; of words that fall on one place the more frequent one is listed.
 SLOTS = 18
 WEIGHTS = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
@@ -36,8 +36,11 @@ WEIGHTS = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 CHUNK = 1024
 #: Points of a leaf of the R-tree, and children of an inner node.
 LEAF = 16
-#: Partners in one other component that a node hands on in each round; the last is at least 2 * CHUNK, so no pair is held back for good.
-ROUNDS = (2, 64, 4 * CHUNK)
+#: Partners in other components that a node of a block hands on in each round, the closest first; the last is at least
+#: 2 * CHUNK, so no pair is held back for good.
+ROUNDS = (1, 8, 4 * CHUNK)
+#: Tasks that share the blocks of one first node.
+SPREAD = 4
 #: Pairs that a task remembers to have handed on.
 TOLD = 200_000
 #: Node ids up to this many are broadcast (16 bytes each) to find the texts of candidates; beyond, they are joined by shuffling.
@@ -100,8 +103,8 @@ class Shingler:
         return np.where(sizes > 0, sizes - -(-sizes * self.percent // 100) + 1, 0)
 
 
-def common_words(texts: DataFrame, top: int = COMMON_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """A table of the `top` most frequent words of all texts: hash and rarity level, placed by the first bits of the hash."""
+def common_words(texts: DataFrame, steps: Steps) -> tuple[np.ndarray, np.ndarray]:
+    """A table of the frequent words of all texts: hash and rarity level, placed by the first bits of the hash."""
 
     def count(batches):
         total = 0
@@ -129,15 +132,17 @@ def common_words(texts: DataFrame, top: int = COMMON_WORDS) -> tuple[np.ndarray,
                         hashes, counts = hashes[:0], counts[:0]
         if waiting:
             hashes, counts = merged(hashes, counts, waiting)
-        # a word seen once in a whole partition is hardly among the most frequent; leaving it out only changes an order that may be any
+        # a word seen once in a whole partition is hardly frequent; leaving it out only changes an order that may be any
         yield out(hashes[counts > 1], counts[counts > 1])
 
-    found = texts.select("_text").mapInArrow(count, "_word long, _n long").groupBy("_word").agg(F.sum("_n").alias("_n"))
-    rows = found.orderBy(F.desc("_n"), "_word").limit(top).collect()
+    found = steps.put(texts.select("_text").mapInArrow(tidy(count), "_word long, _n long").groupBy("_word").agg(F.sum("_n").alias("_n")), "words")
+    total = found.agg(F.sum("_n")).first()[0] or 0
+    rows = sorted((r[1], r[0]) for r in found.filter(F.col("_n") * COMMON_SHARE >= total).collect())
+    steps.drop(found)
     table, level = np.zeros(1 << SLOTS, U), np.full(1 << SLOTS, 20, np.int8)
-    for r in reversed(rows):
-        h = int(r[0]) & (2**64 - 1)
-        table[h >> (64 - SLOTS)], level[h >> (64 - SLOTS)] = h, min(19, int(np.log2(rows[0][1] / r[1])))
+    for n, word in rows:
+        h = int(word) & (2**64 - 1)
+        table[h >> (64 - SLOTS)], level[h >> (64 - SLOTS)] = h, min(19, int(np.log2(rows[-1][0] / n)))
     return table, level
 
 
@@ -147,25 +152,26 @@ def points_of(sizes: np.ndarray, h: np.ndarray) -> list[bytes]:
     bits = GROUPS.bit_length() - 1
     rows = np.repeat(np.arange(n), sizes)
     coarse = np.bincount(rows * GROUPS + (h >> U(64 - bits)).astype(np.int64), minlength=n * GROUPS).reshape(n, GROUPS)
-    out = [x.tobytes() for x in np.minimum(coarse, CLIPPED).astype("<u2")]
+    out = [x.tobytes() for x in np.minimum(coarse, CLIPPED).astype(np.uint8)]
     for i in np.flatnonzero(sizes > FINE).tolist():
         more = bits + int(sizes[i] // FINE).bit_length()
         own = np.bincount((h[stop[i] - sizes[i] : stop[i]] >> U(64 - more)).astype(np.int64), minlength=1 << more)
-        out[i] = np.minimum(own, CLIPPED).astype("<u2").tobytes()
+        out[i] = np.minimum(own, CLIPPED).astype(np.uint8).tobytes()
     return out
 
 
 def unpacked(point: bytes, groups: int | None = None) -> np.ndarray:
     """Coordinates of a packed point, summed to fewer groups if asked."""
-    x = np.frombuffer(point, "<u2").astype(np.int64)
-    x[x == CLIPPED] = UNKNOWN
+    x = np.frombuffer(point, np.uint8).astype(np.int32)
+    if x.max() == CLIPPED:
+        x[x == CLIPPED] = UNKNOWN
     return x if groups is None or len(x) == groups else x.reshape(groups, -1).sum(1)
 
 
 def overlap_bound(a: bytes, b: bytes) -> int:
     """The sum of coordinate minima: no fewer than the shingles that two sets share."""
-    groups = min(len(a), len(b)) // 2
-    return int(np.minimum(unpacked(a, groups), unpacked(b, groups)).sum())
+    groups = min(len(a), len(b))
+    return int(np.minimum(unpacked(a, groups), unpacked(b, groups)).sum(dtype=np.int64))
 
 
 def describe(texts: DataFrame, shingler: Shingler) -> DataFrame:
@@ -196,7 +202,7 @@ def describe(texts: DataFrame, shingler: Shingler) -> DataFrame:
                     ["_id", "_n", "_set", "_prefix", "_point"],
                 )
 
-    return texts.mapInArrow(work, f"_id {kind}, _n long, _set binary, _prefix binary, _point binary")
+    return texts.mapInArrow(tidy(work), f"_id {kind}, _n long, _set binary, _prefix binary, _point binary")
 
 
 def _exploded(nodes: DataFrame) -> DataFrame:
@@ -210,7 +216,7 @@ def _exploded(nodes: DataFrame) -> DataFrame:
             at = pa.array(np.repeat(np.arange(len(packed)), sizes))
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(packed), "<i8")), b.column(0).take(at)], ["_key", "_node"])
 
-    return nodes.select("_node", "_prefix").mapInArrow(work, f"_key long, _node {kind}")
+    return nodes.select("_node", "_prefix").mapInArrow(tidy(work), f"_key long, _node {kind}")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -239,6 +245,7 @@ def components(edges: DataFrame, steps: Steps) -> DataFrame:
     e = steps.put(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
     now = state(e)
     while True:
+        before = e
         # large star: greater neighbours of u point to the smallest of u and its neighbours
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -247,6 +254,7 @@ def components(edges: DataFrame, steps: Steps) -> DataFrame:
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         e = e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
         e = steps.put(e, "stars")
+        steps.drop(before)
         was, now = now, state(e)
         if was == now:
             return e.select(F.col("u").alias("_node"), F.col("v").alias("_root")).unionByName(e.select(F.col("v").alias("_node"), F.col("v").alias("_root"))).distinct()
@@ -264,38 +272,40 @@ class RTree:
             cut = np.arange(0, len(s), LEAF)
             self.levels.append((np.maximum.reduceat(p, cut, axis=0), np.minimum.reduceat(s, cut)))
 
-    def search(self, point: np.ndarray, size: int, percent: int) -> np.ndarray:
-        """Points whose overlap with the given one may reach the threshold."""
+    def search(self, point: np.ndarray, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Points whose overlap with the given one may reach the threshold, and how far it may exceed that."""
         at = np.arange(len(self.levels[-1][1]))
         for depth in range(len(self.levels) - 1, -1, -1):
             points, sizes = self.levels[depth]
-            bound = np.minimum(points[at], point).sum(1)
-            at = at[(100 + percent) * bound >= percent * (size + sizes[at])]
+            bound = np.minimum(points[at], point).sum(1, dtype=np.int64)
+            beyond = (100 + percent) * bound - percent * (size + sizes[at])
+            at, beyond = at[beyond >= 0], beyond[beyond >= 0]
             if depth:
                 at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
                 at = at[at < len(self.levels[depth - 1][1])]
-        return self.order[at]
+        return self.order[at], beyond
 
 
 def _across(blocks: DataFrame, percent: int, most: int) -> DataFrame:
-    """(a, b, held) from blocks (_key, _one, _two, _side, _node, _root, _n, _point): pairs of different components that the bound lets through."""
+    """(a, b, null), and (null, null, key) of blocks that hold pairs back, from blocks (_key, _first, _one, _two, _side, _node, _root, _n, _point): pairs of different components that the bound lets through."""
     kind = blocks.schema["_node"].dataType.simpleString()
 
     def block(rows: list[tuple]) -> list[tuple]:
         one, two, out = [r for r in rows if r[3] == 0], [r for r in rows if r[3] == 1], []
-        same = rows[0][1] == rows[0][2]
         two = two or one
         tree = RTree(np.array([unpacked(r[7], GROUPS) for r in two]), np.array([r[6] for r in two]))
         for r in one:
-            found = tree.search(unpacked(r[7], GROUPS), r[6], percent)
-            by: dict = {}
-            for i in sorted(found.tolist()):
+            found, beyond = tree.search(unpacked(r[7], GROUPS), r[6], percent)
+            n = 0
+            for i in found[np.lexsort((found, -beyond))].tolist():
                 o = two[i]
-                if o[5] != r[5] and (not same or o[4] < r[4]) and (r[6] <= FINE or o[6] <= FINE or (100 + percent) * overlap_bound(r[7], o[7]) >= percent * (r[6] + o[6])):
-                    n = by[o[5]] = by.get(o[5], 0) + 1
-                    out.append((r[4], o[4], False) if n <= most else (None, None, True))
-                    if n > most:
-                        break
+                if o[5] == r[5] or ((r[6] > FINE and o[6] > FINE) and (100 + percent) * overlap_bound(r[7], o[7]) < percent * (r[6] + o[6])):
+                    continue
+                n += 1
+                if n > most:
+                    out.append((None, None, r[0]))
+                    break
+                out.append((r[4], o[4], None))
         return out
 
     def work(batches):
@@ -305,9 +315,9 @@ def _across(blocks: DataFrame, percent: int, most: int) -> DataFrame:
         def out(rows):
             if len(told) > TOLD:
                 told.clear()
-            rows = [r for r in rows if not (r in told or told.add(r))] or rows[:1]
+            rows = [r for r in dict.fromkeys((max(a, b), min(a, b), h) if h is None else (a, b, h) for a, b, h in rows) if not (r in told or told.add(r))] or rows[:1]
             a, b, held = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, keyed), pa.array(b, keyed), pa.array(held, pa.bool_())], ["a", "b", "held"])
+            return pa.RecordBatch.from_arrays([pa.array(a, keyed), pa.array(b, keyed), pa.array(held, pa.int64())], ["a", "b", "_held"])
 
         for batch in batches:
             keyed = batch.schema.field(4).type
@@ -321,8 +331,10 @@ def _across(blocks: DataFrame, percent: int, most: int) -> DataFrame:
             yield out(found)
 
     cols = ["_key", "_one", "_two", "_side", "_node", "_root", "_n", "_point"]
-    dealt = blocks.select(*cols).repartition("_key", "_one", "_two").sortWithinPartitions("_key", "_one", "_two", "_side", "_node")
-    return dealt.mapInArrow(work, f"a {kind}, b {kind}, held boolean")
+    # blocks with the same first node come to a few tasks, which hand on each pair once
+    near = [F.col("_first"), F.pmod(F.col("_key"), F.lit(SPREAD)), F.col("_one"), F.col("_two")]
+    dealt = blocks.select(*cols, "_first").repartition(*near).sortWithinPartitions("_key", "_one", "_two", "_side", "_node").select(*cols)
+    return dealt.mapInArrow(tidy(work), f"a {kind}, b {kind}, _held long")
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 5, threshold_percent: int = 80) -> DataFrame:
@@ -338,7 +350,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prepare(spark)
     steps = Steps(spark, "ngram-join")
     texts = one_row_each(docs, id_col, text_col)
-    shingler = Shingler(n, threshold_percent, common_words(texts))
+    shingler = Shingler(n, threshold_percent, common_words(texts, steps))
     described = steps.put(describe(texts, shingler), "sets")
     members = described.filter("_n > 0").groupBy("_set").agg(F.min("_id").alias("_node"))
     members = steps.put(described.filter("_n > 0").select("_id", "_n", "_set", "_prefix", "_point").join(members, "_set").select("_id", "_node", "_n", F.when(F.col("_id") == F.col("_node"), F.col("_prefix")).alias("_prefix"), F.when(F.col("_id") == F.col("_node"), F.col("_point")).alias("_point")), "members")
@@ -347,18 +359,18 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = _exploded(nodes).select("_key", "_node", F.first("_node").over(group.rowsBetween(Window.unboundedPreceding, 0)).alias("_first"), F.lead("_node").over(group).alias("_next"))
     blocks = steps.put(blocks.filter("_first != _node or _next is not null").filter("_first != _node or _next != _node").select("_key", "_node", "_first"), "blocks")
     points = nodes.select("_node", "_n", "_point")
-    links = _resolve(steps, texts, blocks, points, shingler)
-    roots = components(links, steps)
-    return (
+    _, roots = _resolve(steps, texts, blocks, points, shingler)
+    result = (
         described.select("_id", "_n")
         .join(members.select("_id", "_node").distinct(), "_id", "left")
         .join(roots, "_node", "left")
         .select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("_root", "_node", "_id").alias("component_id"))
     )
+    return steps.finish(result, "result")
 
 
-def _resolve(steps: Steps, texts: DataFrame, blocks: DataFrame, points: DataFrame, shingler: Shingler) -> DataFrame:
-    """Verified links (a, b) that connect just what all links connect."""
+def _resolve(steps: Steps, texts: DataFrame, blocks: DataFrame, points: DataFrame, shingler: Shingler) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) that connect just what all links connect, and their components."""
     percent = shingler.percent
     # blocks of the same nodes are one block with their number
     named = blocks.groupBy("_key").agg(F.count("*").alias("_size"), F.sum(F.xxhash64("_node").cast("decimal(20,0)")).alias("_sum"))
@@ -371,25 +383,40 @@ def _resolve(steps: Steps, texts: DataFrame, blocks: DataFrame, points: DataFram
     stars = stars.join(near.select(F.col("_node").alias("a"), F.col("_n").alias("_na"), F.col("_point").alias("_pa")), "a")
     stars = stars.join(near.select(F.col("_node").alias("b"), F.col("_n").alias("_nb"), F.col("_point").alias("_pb")), "b")
     tried = steps.put(_bounded(stars, percent), "stars")
-    links = steps.put(verified(tried, _sets_of(steps, texts, tried, shingler), percent), "links")
+    links = _checked(steps, texts, tried, shingler)
+    roots = components(links, steps)
     for most in ROUNDS:
-        roots = components(links, steps)
-        labelled = blocks.select("_key", "_node").join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
+        labelled = blocks.select("_key", "_node", "_first").join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
         several = labelled.groupBy("_key").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.count("*").alias("_size")).filter("_lo != _hi").select("_key", "_size")
         left = labelled.join(several, "_key").join(near, "_node")
-        # blocks of more than CHUNK nodes are cut by size; each two of their chunks make a block of their own
-        chunk = F.floor((F.row_number().over(Window.partitionBy("_key").orderBy("_n", "_node")) - 1) / CHUNK).cast("int")
-        left = left.withColumn("_chunk", chunk).withColumn("_other", F.explode(F.sequence(F.lit(0), F.floor((F.col("_size") - 1) / CHUNK).cast("int"))))
+        # blocks of more than CHUNK nodes are cut by a hash; each two of their chunks make a block of their own
+        chunks = F.floor((F.col("_size") - 1) / CHUNK).cast("int") + 1
+        left = left.withColumn("_chunk", F.pmod(F.xxhash64("_node"), chunks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), chunks - 1)))
         left = left.withColumns({"_one": F.greatest("_chunk", "_other"), "_two": F.least("_chunk", "_other")}).withColumn("_side", (F.col("_chunk") != F.col("_one")).cast("int"))
         found = steps.put(_across(left, percent, most), "across")
-        held = found.filter("held").limit(1).count()
-        fresh = found.filter("not held").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        fresh = found.filter("_held is null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
         fresh = steps.put(fresh, "pairs")
         if fresh.limit(1).count():
-            more = steps.put(verified(fresh, _sets_of(steps, texts, fresh, shingler), percent), "links")
-            tried, links = tried.unionByName(fresh), links.unionByName(more)
-        if not held:
+            more = _checked(steps, texts, fresh, shingler)
+            tried = tried.unionByName(fresh)
+            if more.limit(1).count():
+                links = links.unionByName(more)
+                roots = components(links, steps)
+        # only blocks that held pairs back are looked at again
+        held = found.filter("_held is not null").select(F.col("_held").alias("_key")).distinct()
+        if not held.limit(1).count():
             break
+        seen = blocks
+        blocks = steps.put(seen.join(held, "_key", "left_semi"), "held-blocks")
+        steps.drop(seen, found)
+    return links, roots
+
+
+def _checked(steps: Steps, texts: DataFrame, pairs: DataFrame, shingler: Shingler) -> DataFrame:
+    """The verified ones of written pairs, written."""
+    sets = _sets_of(steps, texts, pairs, shingler)
+    links = steps.put(verified(pairs, sets, shingler.percent), "links")
+    steps.drop(sets)
     return links
 
 
@@ -403,7 +430,7 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
             near = [(100 + percent) * overlap_bound(p, q) >= percent * (x + y) for x, y, p, q in zip(na, nb, one, two, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
-    return pairs.select("a", "b", "_na", "_nb", "_pa", "_pb").mapInArrow(work, f"a {kind}, b {kind}")
+    return pairs.select("a", "b", "_na", "_nb", "_pa", "_pb").mapInArrow(tidy(work), f"a {kind}, b {kind}")
 
 
 def _sets_of(steps: Steps, texts: DataFrame, pairs: DataFrame, shingler: Shingler) -> DataFrame:
@@ -419,4 +446,4 @@ def _sets_of(steps: Steps, texts: DataFrame, pairs: DataFrame, shingler: Shingle
 
     ids = steps.put(pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct(), "named")
     few = ids.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-    return steps.put(texts.join(F.broadcast(ids) if few else ids, "_id", "left_semi").mapInArrow(work, f"_node {kind}, _items array<long>"), "sets")
+    return steps.put(texts.join(F.broadcast(ids) if few else ids, "_id", "left_semi").mapInArrow(tidy(work), f"_node {kind}, _items array<long>"), "sets")
