@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import bpe, exact_dedup, mixing, ngram_join, quality
-from tidemill.llm._state import Steps, prepare
+from tidemill.llm._state import Steps, prepare, sent_if_few
 from tidemill.llm.queries import vocabulary_path
 
 
@@ -23,14 +23,15 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest doc_id) of each group linked by five-word shingles at 0.8 or more."""
     groups = ngram_join.link_documents(docs, n=5, threshold_percent=80)
-    return docs.join(groups.filter("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    later = groups.filter("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(sent_if_few(later), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     taken = mixing.mix_sources(docs).filter("copies > 0").select("doc_id", "copies").distinct()
     rows = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    return rows.join(taken, "doc_id").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
+    return rows.join(sent_if_few(taken), "doc_id").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,10 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Rows of ids up to which a table is broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Rows in one Arrow batch; texts are long, and a worker holds a few batches at a time.
 ARROW_ROWS = 512
 
@@ -50,6 +53,11 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def sent_if_few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A table of ids, to be broadcast if it is checked to have no more than `most` rows; beyond, joins shuffle it."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 class Steps:
     """Tables of one operator's run; a lost executor costs no finished step."""
 
