@@ -253,6 +253,22 @@ def test_quality_on_held_out_texts(graded):
     assert kept.columns == [*docs.columns, "_id"] and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["keep"]}
 
 
+def test_quality_keeps_alike_where_the_sample_is_capped(spark):
+    """Nine in ten labelled texts are clean, and some are hard to tell from poor ones; a sample of equal parts keeps the same."""
+    rng = random.Random(11)
+    rows, labels = [], []
+    for i in range(1600):
+        poor = i % 9 == 0
+        share = rng.uniform(0.3, 1.0) if poor else rng.uniform(0.0, 0.6)
+        w = ["".join(rng.choice(["ti", "on", "er", "th", "an", "re"]) for _ in range(rng.randrange(1, 4))) for _ in range(60)]
+        rows.append((i, " ".join(x.upper() if rng.random() < share else x for x in w), "en", "s", 0))
+        labels.append((i, int(not poor), 0))
+    docs, told = spark.createDataFrame(rows, DDL), spark.createDataFrame(labels[:1200], "doc_id long, quality int, toxic int")
+    held = {i for i, q, _ in labels[1200:] if q}
+    whole, capped = (held & {r["doc_id"] for r in quality.select(docs, quality.fit(docs, told, sample=n)).collect()} for n in (1200, 140))
+    assert len(whole) > 0.95 * len(held) and len(whole ^ capped) < 0.06 * len(held)
+
+
 def test_ordinal_grades():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 5))

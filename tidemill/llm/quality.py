@@ -66,13 +66,16 @@ class Ordinal:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sample: int = SAMPLE) -> Ordinal | None:
-    """The model of at most `sample` labelled rows for each combination of labels; None without labelled rows."""
-    texts, y, _ = labelled_sample(docs, labels, id_col, text_col, ["quality", "toxic"], sample)
+    """The model of at most `sample` labelled rows for each combination of labels; None without labelled rows.
+
+    Rows weigh as many labelled rows as they stand for, so that the selection doesn't shift where the sample is capped.
+    """
+    texts, y, weight = labelled_sample(docs, labels, id_col, text_col, ["quality", "toxic"], sample)
     if not len(texts):
         return None
     grade = np.where(y[:, 0] > 0, np.where(y[:, 1] > 0, 1, 2), 0)
     x = np.vstack([m for _, _, m in matrices(texts)])
-    return Ordinal.fit(x, grade, np.ones(len(grade)))
+    return Ordinal.fit(x, grade, weight)
 
 
 def score(docs: DataFrame, model: Ordinal | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
