@@ -10,6 +10,12 @@ from tidemill.llm._state import Steps, prepare, sent_if_few
 from tidemill.llm.queries import vocabulary_path
 
 
+def numbered(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
+    """(_n, _row): the rows of docs as structs, each with a number of its own; written, so that all reads agree on it."""
+    rows = docs.select(F.monotonically_increasing_id().alias("_n"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return Steps(spark, name).put(rows, "rows")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model holds for well written."""
     return quality.select(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -28,10 +34,11 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    taken = mixing.mix_sources(docs).filter("copies > 0").select("doc_id", "copies").distinct()
-    rows = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    return rows.join(sent_if_few(taken), "doc_id").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
+    """Each row as often as the mix takes it, also if it shares its doc_id with others or has none."""
+    rows = numbered(spark, docs, "pipeline-mixing")
+    slim = rows.select("_n", *[F.col(f"_row.{c}").alias(c) for c in ("doc_id", "text", "source")])
+    taken = mixing.mix_sources(slim, row_col="_n").filter("copies > 0").select("_n", "copies")
+    return rows.join(sent_if_few(taken), "_n").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

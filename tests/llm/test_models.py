@@ -341,6 +341,33 @@ def test_pipeline(spark, path):
     assert all(r[3] == hashlib.sha256(text[r[0]].encode()).hexdigest() for r in rows[5])
 
 
+def test_mixing_stage_takes_rows_not_ids(spark):
+    """Rows without an id, and rows that share one, come as often as the mix decides for each."""
+    rng = random.Random(12)
+    rows = [(None if i % 3 == 0 else 1_000 + i // 4 if i % 3 == 1 else i, f"t{i} " + "w " * rng.randrange(1, 60), "en", rng.choice("aab") if i % 7 else None, 0) for i in range(400)]
+    rows += [(7, "t400 one two", "en", "a", 0), (7, "t401 three four", "en", "a", 0), (7, "t402 five six", "en", "b", 0)]
+    df = spark.createDataFrame(rows, DDL).repartition(4)
+    out = corpus_pipeline.mixing_stage(spark, df, "")
+    assert out.columns == df.columns
+    times = {}
+    for r in out.collect():
+        times[tuple(r)] = times.get(tuple(r), 0) + 1
+    assert set(times) <= set(rows) and max(times.values()) <= 3
+    want, got = {}, {}
+    for r in mixing.mix_sources(df).collect():
+        want.setdefault((r["doc_id"], r["size"], r["source_size"]), []).append(r["copies"])
+    words = {}
+    for _, t, _, s, _ in rows:
+        words[s] = words.get(s, 0) + len(t.split())
+    for r in rows:
+        got.setdefault((r[0], len(r[1].split()), words[r[3]]), []).append(times.get(r, 0))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    again = {}
+    for r in corpus_pipeline.mixing_stage(spark, df.repartition(7, "text"), "").collect():
+        again[tuple(r)] = again.get(tuple(r), 0) + 1
+    assert again == times
+
+
 def test_run_gives_the_last_stage(spark, path):
     if __import__("os").path.isdir(SF):
         assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]

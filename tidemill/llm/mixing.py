@@ -28,16 +28,18 @@ MOST = 3
 EPS = 1e-9
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, source, size): the number of words `[^\\x20\\x09-\\x0D]+` of each text, null counting as none."""
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, row_col: str | None) -> DataFrame:
+    """(id, source, row, hash of the text, size): the number of words `[^\\x20\\x09-\\x0D]+` of each text, null counting as none."""
 
     def count(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(word_counts(b.column(2)), pa.int64())], ["_id", "_source", "_size"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(word_counts(b.column(4)), pa.int64())], ["_id", "_source", "_row", "_hash", "_size"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).cast("string").alias("_text")).mapInArrow(
-        count, f"_id {kinds[id_col]}, _source {kinds[source_col]}, _size long"
+    row = F.col(row_col).cast("long") if row_col else F.lit(None).cast("long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), row.alias("_row"), F.xxhash64(text).alias("_hash"), text.alias("_text")).mapInArrow(
+        count, f"_id {kinds[id_col]}, _source {kinds[source_col]}, _row long, _hash long, _size long"
     )
 
 
@@ -130,9 +132,12 @@ def landing(size: np.ndarray, p: np.ndarray, want: float) -> np.ndarray:
     return best.astype(float)
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[float, ...] = (1, 2, 3), seed: int = 0) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, row_col: str | None = None, weights: tuple[float, ...] = (1, 2, 3), seed: int = 0) -> DataFrame:
     """One row per row of docs: id, size, source_size, target, copies, taken (words the mix takes, repeats counted).
 
+    With row_col, a column of numbers of the rows, it comes first in the result and tells which row was decided how;
+    it has no influence on that.
+
     A null text has size 0, a null source is a source of its own (the last). Documents without words are taken 0
     words. Rows that repeat an id are decided one by one. No rows give no rows. Reruns on the same rows agree:
     blocks and directions depend on ids and sizes only.
@@ -140,7 +145,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     prepare(spark)
     steps = Steps(spark, "mixing")
-    sizes = steps.put(sized(docs, id_col, text_col, source_col), "sizes")
+    sizes = steps.put(sized(docs, id_col, text_col, source_col, row_col), "sizes")
     totals = sizes.groupBy("_source").agg(F.sum("_size").alias("_total"), F.count("*").alias("_docs"))
     totals = steps.put(targets(totals, weights), "targets")
     rows = sizes.join(totals, sizes["_source"].eqNullSafe(totals["_source"]), "inner").drop(totals["_source"])
@@ -150,8 +155,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("_whole", F.floor(F.col("_rate") + EPS))
         .withColumn("_p", F.greatest(F.col("_rate") - F.col("_whole"), F.lit(0.0)))
         .withColumn("_key", F.xxhash64(F.lit(seed), "_id"))
-        # rows alike in id, size and source get numbers, so that each is decided by itself
-        .withColumn("_copy", F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.lit(1))))
+        # rows alike in id, size and source get numbers (in the order of their texts' hashes), so that each is decided by itself
+        .withColumn("_copy", F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("_hash")))
         .withColumn("_key", F.xxhash64("_key", "_copy"))
     )
     rows = steps.put(rows, "rates")
@@ -199,6 +204,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows.alias("a")
         .join(decided.alias("b"), same, "left")
         .select(
+            *([F.col("a._row").alias(row_col)] if row_col else []),
             F.col("a._id").alias(id_col),
             F.col("a._size").alias("size"),
             F.col("a._total").alias("source_size"),
