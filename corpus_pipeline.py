@@ -27,10 +27,18 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each group linked by five-word shingles at 0.8 or more."""
-    groups = ngram_join.link_documents(docs, n=5, threshold_percent=80)
-    later = groups.filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(sent_if_few(later), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group linked by five-word shingles at 0.8 or more; rows that share a doc_id or have none are judged one by one.
+
+    The smallest doc_id stays, null being the largest, and of equal ones the text with the smallest hash.
+    """
+    rows = numbered(spark, docs, "pipeline-near")
+    groups = ngram_join.link_documents(rows.select("_n", F.col("_row.text").alias("text")), "_n", n=5, threshold_percent=80)
+    later = groups.filter("_n != component_id").select("_n", "component_id")
+    linked = later.unionByName(later.select(F.col("component_id").alias("_n"), "component_id").distinct())
+    known = rows.select("_n", F.col("_row.doc_id").alias("_id"), F.xxhash64("_row.text").alias("_hash")).join(sent_if_few(linked), "_n")
+    first = known.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_hash", "_n"))["_n"].alias("_n"))
+    dropped = linked.select("_n").join(first, "_n", "left_anti")
+    return rows.join(sent_if_few(dropped), "_n", "left_anti").select("_row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -341,6 +341,27 @@ def test_pipeline(spark, path):
     assert all(r[3] == hashlib.sha256(text[r[0]].encode()).hexdigest() for r in rows[5])
 
 
+def test_near_stage_judges_rows_not_ids(spark):
+    """A row that shares its id with a near copy stays, and near copies without an id are found."""
+    rng = random.Random(13)
+    fresh = lambda: [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    a, b, c, d, e, f = (fresh() for _ in range(6))
+    whole = [" ".join(x) for x in (a, b, c, d, e, f)]
+    kept = [(1, whole[0]), (5, "0 " + whole[1]), (5, "z " + whole[2]), (2, whole[3]), (None, whole[5]), (None, "alone " * 9), (8, None), (None, None), (9, ""), (9, " ")]
+    # the larger and the smaller text of one id as near copies; a null id beside an id; three beside each other without one
+    gone = [(6, near(a)), (5, "a " + near(a)), (5, "zz " + near(a)), (7, "0 " + near(b)), (None, near(d))]
+    trio = [(None, " ".join([*e[:-1], x])) for x in ("x", "y", "z")]
+    rows = [(i, t, "en", "s", 0) for i, t in kept + gone + trio]
+    df = spark.createDataFrame(rows, DDL).repartition(5)
+    out = corpus_pipeline.near_stage(spark, df, "")
+    assert out.columns == df.columns
+    got = [(r[0], r[1]) for r in out.collect()]
+    assert sum(r in trio for r in got) == 1 and sorted(map(str, (r for r in got if r not in trio))) == sorted(map(str, kept))
+    again = [(r[0], r[1]) for r in corpus_pipeline.near_stage(spark, df.repartition(2, "text"), "").collect()]
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
 def test_mixing_stage_takes_rows_not_ids(spark):
     """Rows without an id, and rows that share one, come as often as the mix decides for each."""
     rng = random.Random(12)
