@@ -305,3 +305,10 @@ def test_rolling_hashes_depend_on_content_only():
     assert a == b == c and len(set(r.grams(4).tolist())) == 7
     v = np.array([5, 3, 8, 1, 9, 2], np.uint64)
     assert sliding_min(v, 3).tolist() == [3, 1, 1, 1] and sliding_min(v, 6).tolist() == [1] and sliding_min(v, 7).tolist() == []
+
+
+def test_sixty_four_equal_stretches_run_through_the_automata(spark):
+    texts = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(40))) for i in range(70)], "_id long, _text string").repartition(1)
+    plan = _repeats.Plan(words=True, length=20, k=5, compared=phrase_dedup.COMPARED, engine=phrase_dedup.Automata(20))
+    marks = _repeats._marks(_repeats._slim(texts, plan), plan).filter(F.col("_kind") == _repeats.COMPARE)
+    assert {r["count"] for r in marks.groupBy("_anchor").count().collect()} == {64}

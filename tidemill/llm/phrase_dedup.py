@@ -19,7 +19,7 @@ from tidemill.llm._repeats import Plan, without_repeats
 from tidemill.llm._text import UNITS, Rolling, U, ragged
 
 #: Equal contexts of one anchor that run through the automaton; later ones equal an earlier one word for word.
-COMPARED = 16
+COMPARED = 64
 
 
 class Automata:
