@@ -172,3 +172,11 @@ def test_restore_and_versions_by_time(spark, table):
         table.restore(2)
     with pytest.raises(ValueError):
         table.version_at(datetime(2000, 1, 1))
+
+
+def test_strings_as_long_as_times_are_strings(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "s"))
+    t.create(spark.createDataFrame([("a" * 26,), ("r",)], "name string").coalesce(1))
+    assert rows_of(t.read(where=[("name", "=", "r")])) == [("r",)]
+    t.delete([("name", "=", "r")])
+    assert rows_of(t.read()) == [("a" * 26,)]

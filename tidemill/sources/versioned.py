@@ -50,8 +50,15 @@ def as_column(where: Iterable[Predicate]) -> Column:
     return test
 
 
-def may_hold(f: DataFile, where: Iterable[Predicate]) -> bool:
-    """Whether a file's statistics allow a row that meets all predicates."""
+def _kinds(s: Snapshot) -> dict[str, T.DataType]:
+    return {f.name: f.dataType for f in T.StructType.fromJson(json.loads(s.layout.schema)).fields}
+
+
+def may_hold(f: DataFile, where: Iterable[Predicate], kinds: dict[str, T.DataType] | None = None) -> bool:
+    """Whether a file's statistics allow a row that meets all predicates.
+
+    kinds are the columns' types; without them, text of 26 characters counts as a time.
+    """
     for c, op, v in where:
         if f.rows and f.nulls.get(c) == f.rows:
             return False
@@ -63,7 +70,8 @@ def may_hold(f: DataFile, where: Iterable[Predicate]) -> bool:
             continue
         if isinstance(low, str) and any(not isinstance(x, str) for x in vs):
             continue
-        if isinstance(low, str) and len(low) == 26 and any(len(x) != 26 for x in vs):
+        stamp = isinstance(low, str) and len(low) == 26 if kinds is None else isinstance(kinds.get(c), (T.TimestampType, T.TimestampNTZType))
+        if stamp and any(len(x) != 26 for x in vs):
             vs = [x if len(x) == 26 else (x + " 00:00:00.000000")[:26] if len(x) == 10 else (x + ".000000")[:26] for x in vs]
         if op in ("=", "in") and not any(low <= x <= high for x in vs):
             return False
@@ -98,13 +106,14 @@ class VersionedTable:
 
     def _frame(self, s: Snapshot, where: Iterable[Predicate] = (), only: Iterable[str] | None = None) -> DataFrame:
         schema = T.StructType.fromJson(json.loads(s.layout.schema))
-        where = list(where)
-        paths = [f"{self.folder.root}/{f.path}" for f in s.files.values() if may_hold(f, where)] if only is None else [f"{self.folder.root}/{p}" for p in only]
+        where, kinds = list(where), _kinds(s)
+        paths = [f"{self.folder.root}/{f.path}" for f in s.files.values() if may_hold(f, where, kinds)] if only is None else [f"{self.folder.root}/{p}" for p in only]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def files(self, version: int | None = None, where: Iterable[Predicate] = ()) -> list[DataFile]:
-        where = list(where)
-        return [f for f in self.log.snapshot(version).files.values() if may_hold(f, where)]
+        where, s = list(where), self.log.snapshot(version)
+        kinds = _kinds(s)
+        return [f for f in s.files.values() if may_hold(f, where, kinds)]
 
     # ---- writing ----
 
@@ -194,7 +203,8 @@ class VersionedTable:
 
     def _hit(self, s: Snapshot, condition: Column, where: list[Predicate]) -> list[str]:
         """Files that hold a row that meets the condition."""
-        listed = [p for p, f in s.files.items() if may_hold(f, where)]
+        kinds = _kinds(s)
+        listed = [p for p, f in s.files.items() if may_hold(f, where, kinds)]
         if not listed:
             return []
         found = self._frame(s, only=listed).filter(condition).select(F.col("_metadata.file_path").alias("p")).distinct().collect()
@@ -245,7 +255,8 @@ class VersionedTable:
             if twice:
                 raise ValueError(f"several source rows have the key {twice[0].asDict()}")
             where = self._bounds(source, [c for c in s.layout.partition if c in keys])
-            listed = [p for p, f in s.files.items() if may_hold(f, where)]
+            kinds = _kinds(s)
+            listed = [p for p, f in s.files.items() if may_hold(f, where, kinds)]
             target = self._frame(s, only=listed)
             file = F.col("_metadata.file_path") if listed else F.lit("")
             ours = target.select(*[named(k) for k in keys], named(changed).alias("_t"), file.alias("_file"))
