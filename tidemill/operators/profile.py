@@ -21,8 +21,9 @@ def null_census(df: DataFrame, by: Iterable[str], columns: Iterable[str]) -> Dat
     return df.groupBy(*by).agg(F.count("*").alias("rows"), *[F.count_if(named(c).isNull()).alias(f"null__{c}") for c in columns])
 
 
-def null_correlation(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Correlation of null indicators, by pairs of columns; null where one never or always is null."""
+def null_correlation(df: DataFrame, columns: list[str], fraction: float | None = None, seed: int = 42) -> DataFrame:
+    """Correlation of null indicators, by pairs of columns, of all rows or a random sample; null where one never or always is null."""
+    df = df if fraction is None else df.sample(fraction=fraction, seed=seed)
     flags = {c: named(c).isNull().cast("double") for c in columns}
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     row = df.agg(*[F.corr(flags[a], flags[b]).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
@@ -95,20 +96,24 @@ def keys(landed: DataFrame, contract: Contract = TRIPS, slack: float = 0.005) ->
     def value(c: str):
         return F.col(SETTLED)[c]
 
-    keyed = rows.select(MONTH, identity(value, contract).alias("trip_key"), content_digest({c: (value(c), contract.settled[c]) for c in fields}).alias("row_hash"), value("fare_amount").alias("fare"))
-    per_key = keyed.groupBy(MONTH, "trip_key").agg(F.count("*").alias("n"), F.count_distinct("row_hash").alias("contents"))
-    by_month = per_key.groupBy(MONTH).agg(
-        F.sum("n").alias("rows"),
+    seen = rows.select(MONTH, identity(value, contract).alias("trip_key"), content_digest({c: (value(c), contract.settled[c]) for c in fields}).alias("row_hash"), value("fare_amount").alias("fare"))
+    # rows that agree in all of these count as one with their number, in all three tables
+    seen = seen.groupBy(MONTH, "trip_key", "row_hash", "fare").agg(F.count("*").alias("copies"))
+    keyed = seen.groupBy(MONTH, "trip_key").agg(F.sum("copies").alias("copies"), (F.min("row_hash") != F.max("row_hash")).alias("conflict"))
+    by_month = keyed.groupBy(MONTH).agg(
+        F.sum("copies").alias("rows"),
         F.count("*").alias("distinct_keys"),
-        F.sum(F.expr("if(contents = 1, n - 1, 0)")).alias("exact_duplicate_excess_rows"),
-        F.count_if(F.col("contents") > 1).alias("keys_with_conflicting_content"),
-    )
-    across = per_key.groupBy("trip_key").agg(F.count("*").alias("months")).filter("months > 1").agg(F.count("*").alias("keys_in_several_months"))
-    # one pass by key: each negative fare against the positive fares of its key
-    by_key = Window.partitionBy("trip_key")
-    twin = keyed.withColumn("_plus", F.collect_set(F.expr("if(fare > 0, fare, null)")).over(by_key)).filter("fare < 0")
-    twin = twin.withColumn("_has", F.exists("_plus", lambda p: F.abs(p + F.col("fare")) < slack))
-    paired = twin.groupBy(MONTH, "trip_key", "fare").agg(F.max("_has").alias("_has")).groupBy(MONTH).agg(F.count("*").alias("negative_fare_rows"), F.count_if("_has").alias("with_matching_positive_trip"))
+        (F.sum(F.when(~F.col("conflict"), F.col("copies"))) - F.count_if(~F.col("conflict"))).alias("exact_duplicate_excess_rows"),
+        F.count_if("conflict").alias("keys_with_conflicting_content"),
+    ).fillna(0)
+    across = keyed.groupBy("trip_key").agg((F.min(MONTH) != F.max(MONTH)).alias("_several")).agg(F.count_if("_several").alias("keys_in_several_months"))
+    # each negative fare beside the positive fares of its key that are nearest to it in size, one on either side
+    size = Window.partitionBy("trip_key").orderBy(F.abs("fare"))
+    plus = F.when(F.col("fare") > 0, F.col("fare"))
+    near = [F.last(plus, ignorenulls=True).over(size.rangeBetween(Window.unboundedPreceding, 0)), F.first(plus, ignorenulls=True).over(size.rangeBetween(0, Window.unboundedFollowing))]
+    twins = seen.select(MONTH, "trip_key", "fare").distinct().withColumns({"_below": near[0], "_above": near[1]}).filter("fare < 0")
+    close = F.least(*[F.abs(F.col(c) + F.col("fare")) for c in ("_below", "_above")])  # least() leaves nulls out
+    paired = twins.groupBy(MONTH).agg(F.count("*").alias("negative_fare_rows"), F.count_if(close < slack).alias("with_matching_positive_trip"))
     return by_month, across, paired
 
 
