@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.functions.expressions import named
+from tidemill.functions.session import settings
 from tidemill.sources.log import DataFile, Folder, Layout, Log, Snapshot
 
 #: Statistics are kept of the first columns only, as wide tables would make the log large.
@@ -249,40 +250,43 @@ class VersionedTable:
         """
         s = self.log.snapshot()
         layout, schema = self._evolved(s, source.schema, evolve)
-        source = source.persist()
+        cols = [named(k) for k in keys]
+        source, met = source.persist(), None
         try:
-            twice = source.dropna(subset=keys).groupBy(*[named(k) for k in keys]).count().filter("count > 1").limit(1).collect()
-            if twice:
-                raise ValueError(f"several source rows have the key {twice[0].asDict()}")
-            where = self._bounds(source, [c for c in s.layout.partition if c in keys])
-            kinds = _kinds(s)
+            where, kinds = self._bounds(source, [c for c in s.layout.partition if c in keys]), _kinds(s)
             listed = [p for p, f in s.files.items() if may_hold(f, where, kinds)]
             target = self._frame(s, only=listed)
             file = F.col("_metadata.file_path") if listed else F.lit("")
-            ours = target.select(*[named(k) for k in keys], named(changed).alias("_t"), file.alias("_file"))
-            theirs = source.select(*[named(k) for k in keys], named(changed).alias("_s"))
-            met = theirs.join(ours, keys)
-            differs = ~F.col("_s").eqNullSafe(F.col("_t"))
-            counts = met.agg(F.count_if(differs).alias("u"), F.count("*").alias("m")).first()
-            touched = [r["_file"] for r in met.filter(differs).select("_file").distinct().collect()]
+            ours = target.select(*cols, named(changed).alias("_t"), file.alias("_file"))
+            # one join of keys tells what is there, where it is, whether it differs, and which keys the source repeats
+            theirs = source.dropna(subset=keys).groupBy(*cols).agg(F.count("*").alias("_times"), F.first(named(changed)).alias("_s"))
+            met = theirs.join(ours, keys, "left").select(*cols, "_file", "_times", (~F.col("_s").eqNullSafe(F.col("_t"))).alias("_differs")).persist()
+            found = met.groupBy("_file").agg(F.count("*").alias("n"), F.count_if("_differs").alias("u"), F.max("_times").alias("times")).collect()
+            if any(r["times"] > 1 for r in found):
+                raise ValueError(f"several source rows have the key {met.filter('_times > 1').select(*cols).first().asDict()}")
+            there = [r for r in found if r["_file"] is not None]
             by_end = {p.rsplit("data/", 1)[-1]: p for p in listed}
-            touched = [by_end[p.rsplit("data/", 1)[-1]] for p in touched]
-            rewritten = []
+            touched = [by_end[r["_file"].rsplit("data/", 1)[-1]] for r in there if r["u"]]
+            new = source.join(met.filter("_file is not null").select(*cols).distinct(), keys, "left_anti")
+            out = self._spread(self._shaped(new, schema), s.layout.partition)
             if touched:
                 t, u = self._shaped(self._frame(s, only=touched), schema).alias("t"), source.alias("u")
                 joined = t.join(u, [F.col(f"t.`{k}`") == F.col(f"u.`{k}`") for k in keys], "left")
                 # the same condition guards rewriting and counting, so rows that don't differ keep their lineage
                 take = F.col(f"u.`{keys[0]}`").isNotNull() & ~F.col(f"u.`{changed}`").eqNullSafe(F.col(f"t.`{changed}`"))
                 have = {c.lower(): c for c in source.columns}
-                rewritten = self._write(joined.select(*[(F.when(take, F.col(f"u.`{have[f.name.lower()]}`")).otherwise(F.col(f"t.`{f.name}`")) if f.name.lower() in have else F.col(f"t.`{f.name}`")).alias(f.name) for f in schema.fields]))
-            new = source.join(target.select(*[named(k) for k in keys]), keys, "left_anti")
-            added = [f for f in self._write(self._spread(self._shaped(new, schema), s.layout.partition)) if f.rows]
+                rewritten = joined.select(*[(F.when(take, F.col(f"u.`{have[f.name.lower()]}`")).otherwise(F.col(f"t.`{f.name}`")) if f.name.lower() in have else F.col(f"t.`{f.name}`")).alias(f.name) for f in schema.fields])
+                out = rewritten.unionByName(out)
+            added = [f for f in self._write(out) if f.rows]
         finally:
             source.unpersist()
-        result = {"inserted": sum(f.rows for f in added), "updated": counts["u"], "noop": counts["m"] - counts["u"]}
-        copied = sum(f.rows for f in rewritten) - counts["u"]
-        version = self._commit(s.version, "MERGE", [*rewritten, *added], touched, layout=layout, metrics=result | {"rows_copied": copied}, parameters={"keys": keys, "changed": changed}, user_metadata=user_metadata)
-        return result | {"copied": copied, "files_removed": len(touched), "files_added": len(rewritten) + len(added), "version": version}
+            if met is not None:
+                met.unpersist()
+        # rewriting keeps the number of rows, so what is beyond it was inserted
+        before, updated = sum(s.files[p].rows for p in touched), sum(r["u"] for r in there)
+        result = {"inserted": sum(f.rows for f in added) - before, "updated": updated, "noop": sum(r["n"] for r in there) - updated}
+        version = self._commit(s.version, "MERGE", added, touched, layout=layout, metrics=result | {"rows_copied": before - updated}, parameters={"keys": keys, "changed": changed}, user_metadata=user_metadata)
+        return result | {"copied": before - updated, "files_removed": len(touched), "files_added": len(added), "version": version}
 
     def _bounds(self, source: DataFrame, partition: Iterable[str], most: int = 1000) -> list[Predicate]:
         """Values that the source has in partition columns which are keys, as a predicate on files; none if there are too many."""
@@ -324,8 +328,9 @@ class VersionedTable:
             small = [p for p, f in s.files.items() if f.size < target_bytes]
             if len(small) < 2:
                 return {"files_removed": 0, "files_added": 0, "version": s.version}
-            n = max(1, math.ceil(sum(s.files[p].size for p in small) / target_bytes))
-            add, remove = self._write(self._frame(s, only=small).repartition(n)), small
+            # a scan packs whole files into partitions up to a size, and a partition becomes a file: no row is shuffled
+            with settings(self.spark, spark__sql__files__maxPartitionBytes=target_bytes, spark__sql__files__openCostInBytes=0, spark__sql__files__minPartitionNum=1):
+                add, remove = self._write(self._frame(s, only=small)), small
         else:
             key = named(by[0]) if len(by) == 1 else z_key(df, by)
             laid = df.withColumn("_z", key).repartitionByRange(n, "_z").sortWithinPartitions("_z", *[named(c) for c in by]).drop("_z")
@@ -415,6 +420,17 @@ class VersionedTable:
             return False
         return True
 
+    def changes(self, before: int, after: int) -> DataFrame:
+        """Rows that came and went between two versions, as multisets: all columns of the later one, and change (insert, delete).
+
+        Only files that one of the versions has and the other hasn't are read; rows that were merely rewritten cancel out.
+        """
+        old, new = self.log.snapshot(before), self.log.snapshot(after)
+        schema = T.StructType.fromJson(json.loads(new.layout.schema))
+        gone = self._shaped(self._frame(old, only=[p for p in old.files if p not in new.files]), schema)
+        come = self._shaped(self._frame(new, only=[p for p in new.files if p not in old.files]), schema)
+        return come.exceptAll(gone).withColumn("change", F.lit("insert")).unionByName(gone.exceptAll(come).withColumn("change", F.lit("delete")))
+
     def diff(self, before: int, after: int, keys: list[str], compare: list[str]) -> DataFrame:
         """Keys that were added, removed or changed between two versions, with the columns compared on both sides."""
 

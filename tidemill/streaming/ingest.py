@@ -10,12 +10,21 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemill.sources.versioned import VersionedTable
 
 
+def landed_up_to(table: VersionedTable) -> int:
+    """Number of the last micro-batch that was committed, or -1; micro-batches come in order, so the latest commit of one tells."""
+    for v in reversed(table.log.versions()):
+        name = table.log.commit(v)["info"]["user_metadata"].get("stream")
+        if name:
+            return int(name.removeprefix("stream-"))
+    return -1
+
+
 def land_files(spark: SparkSession, folder: str, schema: T.StructType, table: VersionedTable, checkpoint: str, *, kind: str = "parquet", per_batch: int = 100) -> StreamingQuery:
     """All files of a folder that weren't landed yet, then stop. A micro-batch that was committed before isn't committed again."""
 
     def commit(batch: DataFrame, number: int) -> None:
         name = f"stream-{number}"
-        if table.exists() and name in table.batches("stream"):
+        if number <= landed_up_to(table):
             return
         rows = batch.withColumns({"_ingest_ts": F.current_timestamp(), "_stream_batch": F.lit(number)})
         told = {"stream": name}
