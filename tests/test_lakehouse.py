@@ -56,12 +56,42 @@ def test_evolution_time_travel_and_gold(lake):
     e = lake.evolution()
     assert e["present"] and e["absent_before"] and e["operation"] == "MERGE"
     t = lake.time_travel()
-    assert t["vacuum"]["broken_versions"] == [v for v in range(lake.trips.version()) if v in t["vacuum"]["broken_versions"]] and lake.trips.version() not in t["vacuum"]["broken_versions"]
+    # the correction rewrote files of the version before it, which no later version has; all others only appended
+    rewritten = [v for v in lake.trips.log.versions() if lake.trips.log.commit(v)["remove"]]
+    gone = set().union(*(lake.trips.log.commit(v)["remove"] for v in rewritten))
+    broken = [v for v in lake.trips.log.versions() if gone & set(lake.trips.log.snapshot(v).files)]
+    assert rewritten == [lake.trips.version()] and broken and t["vacuum"]["broken_versions"] == broken
     g = lake.gold()
     assert g["check"]["agrees"] and g["zone_hourly_metrics"] > 0 and g["dq_monthly"] > 0
     assert set(lake.profiled()) >= {"values", "keys", "reasons", "flags"}
 
 
+def test_delivered_files_land(spark, tmp_path):
+    """Real files by a manifest: one Parquet file a month, zones and members as published."""
+    files = {}
+    for month in ("2024-02", "2025-02"):
+        generate.month_file(spark, month, 60)[0].coalesce(1).write.parquet(str(tmp_path / month))
+        files[month] = str(tmp_path / month)
+    told = readers.manifest(spark, files)["files"]
+    generate.zone_lookup(spark).coalesce(1).write.option("header", True).csv(str(tmp_path / "zones"))
+    (tmp_path / "members.json").write_text('[{"zone": "Zone 161"}, {"zone": "zone 230 "}]')
+    manifest = {"trips": {m: {"path": f["path"], "rows": f["rows"], "sha256": f["sha256"]} for m, f in told.items()}, "zones": {"path": str(tmp_path / "zones"), "kind": "csv"}, "members": {"path": str(tmp_path / "members.json"), "kind": "json"}}
+    lake = lakehouse.Lakehouse(spark, str(tmp_path / "lake"))
+    status = lake.run(["reference", "bronze", "profile", "silver", "gold"], lakehouse.delivered(lake, manifest))
+    assert status["ok"], status
+    assert lake.zones.read().filter("is_cbd").count() == 2 and lake.landed.read().count() == sum(f["rows"] for f in told.values())
+    assert all("row_groups" in f and f["created_by"].startswith("parquet-mr") and "int96" not in f["physical"] for f in told.values())
+    assert "## Year over year" in lake.folder.read("evidence/gold.md")
+    assert [b["landed"] for b in lakehouse.delivered(lake, manifest)["bronze"]()] == [False, False]
+    manifest["trips"]["2025-02"]["rows"] += 1
+    with pytest.raises(RuntimeError, match="manifest says"):
+        lakehouse.delivered(lake, manifest)["bronze"]()
+    sampled = lakehouse.Lakehouse(spark, str(tmp_path / "sampled"))
+    del manifest["trips"]["2025-02"], manifest["members"]
+    do = lakehouse.delivered(sampled, manifest, percent=50)
+    assert do["reference"]()["members"] == 38 and 0 < do["bronze"]()[0]["rows"] < told["2024-02"]["rows"]
+
+
 def test_wrong_row_counts_are_refused(spark, tmp_path):
     lake = lakehouse.Lakehouse(spark, str(tmp_path / "lake"))
     df, _ = generate.month_file(spark, "2025-01", 60)

@@ -1,4 +1,4 @@
-"""python -m tidemill run|benchmark|fixture: the pipeline over made-up months, its benchmark, the fixture lane."""
+"""python -m tidemill run|benchmark|fixture: the pipeline over delivered files or made-up months, its benchmark, the fixture lane."""
 
 from __future__ import annotations
 
@@ -10,12 +10,15 @@ import sys
 from tidemill.functions.session import session
 from tidemill.plans import lakehouse, layouts
 from tidemill.sources import generate
+from tidemill.sources.log import Folder
 
 
 def main(args: list[str]) -> int:
     parser = argparse.ArgumentParser(prog="tidemill", description=__doc__)
     parser.add_argument("what", choices=["run", "benchmark", "fixture"])
     parser.add_argument("--root", default=os.environ.get("LAKEHOUSE_DIR", "lakehouse"))
+    parser.add_argument("--source", help="a JSON manifest of delivered files (see lakehouse.delivered); without it months are made up")
+    parser.add_argument("--sample-percent", type=float, help="land a sample of the delivered rows")
     parser.add_argument("--months", nargs="+", default=["2024-02", "2025-01", "2025-02"])
     parser.add_argument("--rows", type=int, default=400)
     parser.add_argument("--steps", nargs="+", choices=lakehouse.STEPS, default=list(lakehouse.STEPS[:-1]))
@@ -35,7 +38,8 @@ def main(args: list[str]) -> int:
             expected = {k: expected.get(k, 0) + v for k, v in counts.items()}
         print(json.dumps(lake.fixture(batches, expected), indent=1))
         return 0
-    do = lakehouse.made_up(lake, o.months, o.rows) | {"benchmark": lambda: layouts.run(lake, n=o.bench_rounds, baseline_files=o.baseline_files, target_bytes=int(o.target_file_mb * 2**20))}
+    files = json.loads(Folder(spark, os.path.dirname(o.source) or ".").read(os.path.basename(o.source))) if o.source else None
+    do = (lakehouse.delivered(lake, files, o.sample_percent) if files else lakehouse.made_up(lake, o.months, o.rows)) | {"benchmark": lambda: layouts.run(lake, n=o.bench_rounds, baseline_files=o.baseline_files, target_bytes=int(o.target_file_mb * 2**20))}
     if o.rebuild:
         do["silver"] = lambda: lake.silver(rebuild=True)
     steps = ["benchmark"] if o.what == "benchmark" else [*o.steps, *(["benchmark"] if o.with_benchmark and "benchmark" not in o.steps else [])]

@@ -67,6 +67,11 @@ class Lakehouse:
     def evidence(self, name: str, content: Any) -> None:
         self.folder.write(f"evidence/{name}.json", json.dumps(content, indent=1, default=str, sort_keys=True))
 
+    def report(self, name: str, tables: dict[str, DataFrame | list[dict]]) -> None:
+        """Named tables of numbers as one Markdown file."""
+        rows = {title: t if isinstance(t, list) else [r.asDict() for r in t.collect()] for title, t in tables.items()}
+        self.folder.write(f"evidence/{name}.md", f"# {name}\n\n" + "\n".join(f"## {title}\n\n{render_table(r)}" for title, r in rows.items()))
+
     # ---- steps ----
 
     def reference(self, lookup: DataFrame, members: DataFrame | None) -> dict[str, Any]:
@@ -75,7 +80,10 @@ class Lakehouse:
                 self.table(name).overwrite(df)
         dim = readers.zone_dimension(lookup, members)
         self.zones.overwrite(dim)
-        counts = dim.agg(F.count("*").alias("zones"), F.count_if("is_cbd").alias("members"), F.count_if("is_unknown").alias("unknown")).first()
+        zones = self.zones.read()
+        counts = zones.agg(F.count("*").alias("zones"), F.count_if("is_cbd").alias("members"), F.count_if("is_unknown").alias("unknown")).first()
+        by_borough = zones.groupBy("borough").agg(F.count("*").alias("zones"), F.count_if("is_cbd").alias("members")).orderBy("borough")
+        self.report("zones", {"Zones": [counts.asDict()], "By borough": by_borough, "Members": zones.filter("is_cbd").select("LocationID", "zone", "borough", "cbd_source").orderBy("LocationID")})
         return counts.asDict()
 
     def land(self, batch: DataFrame, batch_id: str, month: str, source: str, sha256: str, expected_rows: int | None = None) -> dict[str, Any]:
@@ -251,7 +259,7 @@ class Lakehouse:
         reasons, flags = profile.rule_preview(df, self.limits)
         tables = {"values": profile.values(df, self.limits), "keys": month, "keys_across": across, "reversals": twins, "reasons": reasons, "flags": flags} | {c: profile.distribution(df, c) for c in ("payment_type", "VendorID", "RatecodeID")}
         found = {name: [r.asDict() for r in t.collect()] for name, t in tables.items()}
-        self.folder.write("evidence/profile.md", "\n".join(f"## {name}\n\n{render_table(rows)}" for name, rows in found.items()))
+        self.report("profile", found)
         return found
 
     def diagnose(self) -> dict[str, Any]:
@@ -262,7 +270,7 @@ class Lakehouse:
             "zero_durations": profile.zero_durations(df), "negative_fares": profile.negative_fares(df), "null_blocks": profile.null_blocks(df),
         }
         found = {name: [r.asDict() for r in t.collect()] for name, t in tables.items()}
-        self.folder.write("evidence/findings.md", "\n".join(f"## {name}\n\n{render_table(rows)}" for name, rows in found.items()))
+        self.report("findings", found)
         return found
 
     def gold(self, months: list[str] | None = None) -> dict[str, Any]:
@@ -280,6 +288,10 @@ class Lakehouse:
             out[name] = self.table(f"gold/{name}").detail()["rows"]
         out["verdicts"] = {r["verdict"]: r["count"] for r in marts.verdicts(trips, zones).groupBy("verdict").count().collect()}
         out["check"] = marts.check_against_sql(self.spark, self.table("gold/zone_hourly_metrics").read(), trips, months)
+        busiest = self.table("gold/zone_hourly_metrics").read().orderBy(F.desc("trips"), "pickup_date", "pickup_hour", "PULocationID").limit(10)
+        tables = {"Busiest hours": busiest, "By month and flow": self.table("gold/cbd_flow_monthly").read().orderBy("pickup_month", "policy_period", "cbd_flow"), "Year over year": self.table("gold/cbd_flow_yoy").read().orderBy("year", "month_of_year", "cbd_flow")}
+        tables |= {"Data quality": self.table("gold/dq_monthly").read().orderBy("_source_month", "outcome", "rule"), "Cells against SQL": out["check"]["cells"], "Totals against SQL": [out["check"]["totals"]]}
+        self.report("gold", tables)
         if not out["check"]["agrees"]:
             raise RuntimeError(f"a mart differs from SQL: {out['check']}")
         return out
@@ -398,6 +410,23 @@ def _month_number(month: str) -> int:
     return int(year) * 12 + int(number)
 
 
+def _steps(lake: Lakehouse, reference: Callable[[], Any], bronze: Callable[[], Any]) -> dict[str, Callable[[], Any]]:
+    from tidemill.plans import layouts
+
+    return {
+        "reference": reference,
+        "bronze": bronze,
+        "profile": lake.profiled,
+        "diagnose": lake.diagnose,
+        "silver": lake.silver,
+        "cdc": lake.cdc,
+        "evolution": lake.evolution,
+        "time_travel": lake.time_travel,
+        "gold": lake.gold,
+        "benchmark": lambda: layouts.run(lake),
+    }
+
+
 def made_up(lake: Lakehouse, months: list[str], rows: int = 400) -> dict[str, Callable[[], Any]]:
     """Steps over generated trip files, for rehearsals without downloads."""
     spark = lake.spark
@@ -414,17 +443,35 @@ def made_up(lake: Lakehouse, months: list[str], rows: int = 400) -> dict[str, Ca
             out.append(lake.land(readers.parquet(spark, path), f"yellow_{m}_{sha[:12]}", m, path, sha))
         return out
 
-    from tidemill.plans import layouts
+    return _steps(lake, lambda: lake.reference(generate.zone_lookup(spark), generate.area_members(spark)), bronze)
 
-    return {
-        "reference": lambda: lake.reference(generate.zone_lookup(spark), generate.area_members(spark)),
-        "bronze": bronze,
-        "profile": lake.profiled,
-        "diagnose": lake.diagnose,
-        "silver": lake.silver,
-        "cdc": lake.cdc,
-        "evolution": lake.evolution,
-        "time_travel": lake.time_travel,
-        "gold": lake.gold,
-        "benchmark": lambda: layouts.run(lake),
-    }
+
+def delivered(lake: Lakehouse, manifest: dict[str, Any], percent: float | None = None) -> dict[str, Callable[[], Any]]:
+    """Steps over files that were delivered, as a manifest names them.
+
+    trips: for each month (yyyy-MM) the path of its Parquet file and, if known, its rows and sha256; zones and members:
+    path and kind (see readers.published_table) of the zones and of the area's members, the latter or both may be absent.
+    Footers and digests are compared with what the manifest says before anything lands; with percent, a sample lands.
+    """
+    spark = lake.spark
+
+    def reference():
+        lookup = readers.published_table(spark, manifest["zones"]["path"], manifest["zones"]["kind"])
+        listed = manifest.get("members")
+        members = readers.ids_of(readers.published_table(spark, listed["path"], listed["kind"]), lookup) if listed else readers.fallback_members(spark)
+        return lake.reference(lookup, members)
+
+    def bronze():
+        out = []
+        for month, file in sorted(manifest["trips"].items()):
+            path = file["path"]
+            parts = path if path.endswith(".parquet") else f"{path}/*.parquet"
+            told = readers.manifest(spark, {month: path})["files"][month]
+            off = {k: (file[k], told[k]) for k in ("rows", "sha256") if k in file and file[k] != told[k]}
+            if off:
+                raise RuntimeError(f"{path} isn't what the manifest says (said, found): {off}")
+            done = lake.land(readers.parquet(spark, path, percent), f"yellow_{month}_{told['sha256'][:12]}", month, path, told["sha256"], None if percent else told["rows"])
+            out.append(done | {"source": parts, "row_groups": told["row_groups"], "created_by": told["created_by"]})
+        return out
+
+    return _steps(lake, reference, bronze)
