@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tidemill.plans import catalogue
+from tidemill.plans import catalogue, trip_queries  # noqa: F401  the latter registers its queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -34,9 +34,8 @@ def test_same_as_sql(spark, duck, name):
     assert in_order(found.collect(), found.columns) == in_order(cursor.fetchall(), columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
-def test_gives_rows(spark, name):
-    assert catalogue.QUERIES[name](spark, SF).count() > 0
+def test_every_query_has_sql():
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
 
 
 def test_filters_and_columns_reach_the_scan(spark):
@@ -47,4 +46,4 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 def test_skipping_opens_fewer_files(spark):
     row = catalogue.QUERIES["files_skipped"](spark, SF).first()
-    assert row["scanned"] == row["selected"] < row["files"]
+    assert row["fewer"] and row["as_selected"]
