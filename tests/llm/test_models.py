@@ -1,6 +1,7 @@
 """BPE, fingerprints, mixing, classifiers, and the pipeline."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -9,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemill.llm import bpe, mixing, quality, queries, toxicity, winnowing
-from tidemill.llm._text import word_counts
+from tidemill.llm import _features, bpe, mixing, quality, queries, toxicity, winnowing
+from tidemill.llm._text import KEYS, UNITS, segments, word_counts
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -68,27 +69,38 @@ def test_bpe_forgets_when_full(path, monkeypatch):
 # ---- fingerprints ----
 
 
-def kept_by_rule(text, k, window):
-    """Winnowing by its definition, over equality of k-grams and the operator's own hashes."""
-    row, h, place = winnowing.winnow([text], k, window)
-    return list(zip(h.tolist(), place.tolist(), strict=True))
+def scrambled(x):
+    """The finaliser of the operators' hashes, on plain integers."""
+    m = 2**64 - 1
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & m
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & m
+    return x ^ x >> 31
 
 
-def test_winnowing_keeps_the_rightmost_smallest():
+def kept_by_rule(text, k=winnowing.K, window=winnowing.WINDOW):
+    """(hash, place) of what winnowing keeps, by its definition."""
+
+    def gram(s):
+        return scrambled(sum(scrambled(ord(c) + 0x9E3779B97F4A7C15 & 2**64 - 1) * pow(UNITS.base, i, 2**64) for i, c in enumerate(s)) % 2**64)
+
+    if len(text) < k:
+        return [(gram(text), 0)] if text else []
+    grams = [gram(text[i : i + k]) for i in range(len(text) - k + 1)]
+    width = min(len(grams), window)
+    places = {max(range(i, i + width), key=lambda j: (-grams[j], j)) for i in range(len(grams) - width + 1)}
+    return [(grams[p], p) for p in sorted(places)]
+
+
+def test_winnowing_keeps_the_rightmost_smallest(monkeypatch):
     rng = random.Random(6)
-    for text in ["".join(rng.choice("ab é🙂") for _ in range(n)) for n in (0, 1, 11, 12, 13, 26, 27, 28, 300)]:
-        k, window = 12, 16
-        grams = [kept_by_rule(text[i : i + k], k, window)[0][0] for i in range(len(text) - k + 1)]
-        short = min(len(grams), window)
-        want = set()
-        for i in range(len(grams) - short + 1 if grams else 0):
-            low = min(x >> winnowing.PLACE for x in grams[i : i + short])
-            want.add(max(j for j in range(i, i + short) if grams[j] >> winnowing.PLACE == low))
-        got = kept_by_rule(text, k, window)
-        if grams:
-            assert [p for _, p in got] == sorted(want) and all(grams[p] == h for h, p in got)
-        else:
-            assert len(got) == (1 if text else 0)
+    texts = ["".join(rng.choice("ab é🙂") for _ in range(n)) for n in (0, 1, 11, 12, 13, 26, 27, 28, 300, 0, 700)] + ["a" * 400, "ab" * 200]
+    for load in (1 << 19, 40):
+        monkeypatch.setattr(winnowing, "LOAD", load)
+        row, h, place = winnowing.winnow(texts)
+        for i, text in enumerate(texts):
+            assert list(zip(h[row == i].tolist(), place[row == i].tolist(), strict=True)) == kept_by_rule(text)
 
 
 def test_shared_passages_share_hashes():
@@ -121,7 +133,7 @@ def test_fingerprints_beside_the_next_document(spark, n, monkeypatch):
         r = got[i]
         assert (r["n_chars"], r["edited_sha256"]) == (chars, hashlib.sha256(edited.encode()).hexdigest())
         assert names.setdefault(text, r["fingerprint"]) == r["fingerprint"]
-        sets = [set(winnowing.winnow([t])[1].tolist()) for t in (text, edited, after)]
+        sets = [{h for h, _ in kept_by_rule(t)} for t in (text, edited, after)]
         like = lambda x, y: 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
         assert r["near_edited"] == pytest.approx(like(sets[0], sets[1])) and r["near_next"] == pytest.approx(like(sets[0], sets[2]))
         assert r["fingerprint"] == r["edited_fingerprint"] or text != edited
@@ -290,6 +302,136 @@ def test_toxicity_on_held_out_texts(graded):
     assert len(model.links[1].weights) == len(model.links[1].words) + len(toxicity.SHAPES) + 1  # the earlier category feeds the later model
 
 
+# the classifiers' numbers once more, by their definitions on plain integers and strings
+
+M = 2**64 - 1
+
+
+def word_number(word):
+    """The first number of a word, see _text.word_lanes."""
+    if len(word) > 16:
+        return int.from_bytes(hashlib.blake2b(word, digest_size=16).digest()[:8], "little")
+    a, b = (int.from_bytes(word[i : i + 8], "little") for i in (0, 8))
+    k = [int(x) for x in KEYS]
+    a ^= scrambled(b + k[0] + len(word) * k[4] & M)
+    b ^= scrambled(a + k[1] & M)
+    a ^= scrambled(b + k[2] & M)
+    return a
+
+
+def plain_shapes(raw):
+    words, n = raw.split(), max(len(raw), 1)
+    some = max(len(words), 1)
+    letter = lambda c: 65 <= c <= 90 or 97 <= c <= 122
+    space = lambda c: c == 32 or 9 <= c <= 13
+    share = lambda test: sum(map(test, raw)) / n
+    mark = lambda c: c < 128 and not (letter(c) or 48 <= c <= 57 or space(c))
+    again = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    return [math.log1p(len(raw)) / 10, share(lambda c: 65 <= c <= 90) * 4, share(mark) * 4, share(lambda c: 48 <= c <= 57) * 4, share(lambda c: c > 127), share(space) * 4, again / some * 4, min(len(set(words)) / some * math.sqrt(some) / 10, 3), len(raw) / some / 20, 1.0]
+
+
+def plain_trigrams(raw):
+    counts = [0] * 4096
+    for a, b, c in zip(raw, raw[1:], raw[2:], strict=False):
+        counts[((a | b << 8 | c << 16) * 2654435761 % 2**32) >> 20] += 1
+    return [math.sqrt(c / max(sum(counts), 1)) for c in counts]
+
+
+def plain_words(raw):
+    plain = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in raw)
+    return {word_number(w) >> 42 for w in plain.split()}
+
+
+def logistic(z):
+    return 1 / (1 + math.exp(-max(-40, min(40, z))))
+
+
+def odd_texts():
+    return [t or "" for t in ODD[:10]] + ["It's 3 O'Clock, 3 o'clock!", "word word WORD " * 30, "pneumonoultramicroscopic idiot, scum; trash"]
+
+
+def test_quality_by_its_definition(spark, graded):
+    docs, labels, _ = graded
+    model = quality.fit(docs, labels)
+    texts = odd_texts() + [r["text"] for r in docs.limit(20).collect()]
+    got = {r["doc_id"]: r for r in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        x = plain_trigrams(t.encode()) + plain_shapes(t.encode())
+        z = sum(float(a) * b for a, b in zip(model.weights, x, strict=True))
+        tails = [logistic(z - float(c)) for c in model.thresholds]
+        assert got[i]["p_good"] == pytest.approx(tails[0], abs=2e-5) and got[i]["expected_grade"] == pytest.approx(sum(tails), abs=4e-5)
+
+
+def test_quality_is_where_the_likelihood_is_largest():
+    """No step in any direction makes the weighted, penalised likelihood of a fit better."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 3))
+    grade = np.digitize(x @ np.array([1.5, -1, 0.5]) + rng.logistic(size=400), [-1.0, 1.0])
+    weight = rng.uniform(0.5, 2, 400)
+    m = quality.Ordinal.fit(x, grade, weight, steps=3000, rate=0.05)
+
+    def cost(w, t):
+        total = 0.0
+        for row, g, u in zip(x, grade, weight, strict=True):
+            tail = [1.0, *(logistic(float(row @ w) - c) for c in t), 0.0]
+            total -= u * math.log(tail[g] - tail[g + 1])
+        return total / weight.sum() + 0.5e-4 * float(w @ w)
+
+    w, t = m.weights.astype(float), m.thresholds
+    least = cost(w, t)
+    for i in range(5):
+        for step in (-0.02, 0.02):
+            d = np.zeros(5)
+            d[i] = step
+            assert cost(w + d[:3], t + d[3:]) > least
+
+
+def test_toxicity_by_its_definition(spark, graded):
+    docs, labels, _ = graded
+    model = toxicity.fit(docs, labels)
+    texts = odd_texts() + [r["text"] for r in docs.limit(20).collect()]
+    got = {r["doc_id"]: r for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        words, x, earlier = plain_words(t.encode()), plain_shapes(t.encode()), []
+        for link in model.links:
+            known = {int(w): float(v) for w, v in zip(link.words, link.weights, strict=False)}
+            z = sum(known.get(w, 0.0) for w in words) + sum(float(a) * b for a, b in zip(link.weights[len(link.words) :], x + earlier, strict=True))
+            earlier.append(logistic(z))
+            assert got[i][f"p_{link.name}"] == pytest.approx(earlier[-1], abs=1e-6) and got[i][link.name] == (earlier[-1] > 0.5)
+
+
+def test_long_texts_have_the_same_numbers(monkeypatch):
+    rng = random.Random(21)
+    text = " ".join(rng.choice(["Some", "words", "again", "again", "x-1", "trash!", "é"]) for _ in range(9000))
+    array = pa.array([text])
+    whole = next(iter(_features.matrices(array)))[2], toxicity.Table.read(array)
+    monkeypatch.setattr(_features, "PIECE", 256)
+    monkeypatch.setattr(_features, "segments", lambda data, overlap: segments(data, overlap, 1000))
+    parts = next(iter(_features.matrices(array)))[2], toxicity.Table.read(array)
+    assert np.allclose(whole[0], parts[0]) and sorted(whole[1].words.tolist()) == sorted(parts[1].words.tolist()) and np.allclose(whole[1].dense, parts[1].dense)
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_classifiers_on_repeated_rows_and_clashing_columns(spark, graded, module):
+    docs, labels, _ = graded
+    names = ["_id", "_text", "_l0", "_digest", "_read", "p_good", "toxic", "keep", "p_toxic"]
+    odd = docs.withColumns({c: F.lit(1) for c in names})
+    a, b = module.fit(docs, labels), module.fit(odd.unionByName(odd), labels.unionByName(labels).withColumn("_l1", F.lit(7)))
+    want = {r["doc_id"]: tuple(r) for r in module.score(docs, a).collect()}
+    rows = module.score(odd.unionByName(odd), a).collect()
+    assert len(rows) == 2 * len(want) and all(tuple(r) == want[r["doc_id"]] for r in rows)
+    flag = "keep" if module is quality else "toxic"
+    again = {r["doc_id"]: r[flag] for r in module.score(docs, b).collect()}  # each label counts twice, as all do
+    assert np.mean([again[i] == w[[c for c in module.score(docs, a).columns].index(flag)] for i, w in want.items()]) > 0.99
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_labels_of_many_values_are_refused(spark, graded, module):
+    docs, _, _ = graded
+    with pytest.raises(ValueError, match="combinations"):
+        module.fit(docs, spark.range(100).select(F.col("id").alias("doc_id"), F.col("id").cast("int").alias("quality"), F.lit(0).alias("toxic")))
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_classifier_edges(spark, graded, module):
     docs, labels, _ = graded

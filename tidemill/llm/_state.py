@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of ids up to which a table is broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Seconds that must lie between two times that the driver frees what finished steps have left.
+FREE_EVERY = 3.0
 #: Rows in one Arrow batch; texts are long, and a worker holds a few batches at a time.
 ARROW_ROWS = 512
 
@@ -61,11 +67,18 @@ def sent_if_few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 class Steps:
     """Tables of one operator's run; a lost executor costs no finished step."""
 
+    #: Runs that have tables, in the order they began.
+    opened: list[Steps] = []
+    freed = 0.0
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
         self.tables: dict[int, tuple[DataFrame, str]] = {}
+        if not Steps.opened:
+            atexit.register(Steps.close_all)
+        Steps.opened.append(self)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and read it back. Shuffle files of what led to it can then go."""
@@ -79,6 +92,17 @@ class Steps:
         self.tables[id(found)] = (found, path)
         return found
 
+    def put_and_tell(self, df: DataFrame, name: str, **told) -> tuple[DataFrame, dict]:
+        """put(), and aggregates of the rows that were written, found on the way."""
+        seen = Observation()
+        found = self.put(df.observe(seen, *[c.alias(n) for n, c in told.items()]), name)
+        return found, seen.get
+
+    def same(self, table: DataFrame, view: DataFrame) -> DataFrame:
+        """The view, known as the table that it reads."""
+        self.tables[id(view)] = (view, self.tables.pop(id(table))[1])
+        return view
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables of this run that no plan still to be run reads."""
         for t in tables:
@@ -91,11 +115,40 @@ class Steps:
         self.drop(*[t for t, _ in self.tables.values() if t is not found])
         return found
 
+    @classmethod
+    def close_since(cls, count: int) -> None:
+        """Delete all tables of the runs that began after the first `count`; nothing may read them any more."""
+        for s in cls.opened[count:]:
+            s._delete(s.root)
+        del cls.opened[count:]
+
+    @classmethod
+    def close_all(cls) -> None:
+        """Delete what is left when the application ends."""
+        with contextlib.suppress(Exception):  # the session may have ended before
+            cls.close_since(0)
+
     def _delete(self, path: str) -> None:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
     def free(self) -> None:
-        """Spark drops the shuffle files of collected plans when the JVM collects its garbage."""
+        """Let go of finished steps: Spark drops the shuffle files of collected plans when the JVM collects its garbage,
+        and the driver's two processes hand memory back that planning took; now and then only, as it takes a while."""
+        if time.monotonic() - Steps.freed < FREE_EVERY:
+            return
         gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        jvm = self.spark.sparkContext._jvm
+        jvm.System.gc()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        with contextlib.suppress(Py4JError):  # not every JVM has the command
+            name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+            jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer().invoke(name, "systemTrimNativeHeap", None, None)
+        Steps.freed = time.monotonic()
+
+
+def numbered(steps: Steps, docs: DataFrame) -> DataFrame:
+    """(_n, _row): the rows of docs as structs, each with a number of its own; written, so that all reads agree on it."""
+    row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    return steps.put(docs.select(F.monotonically_increasing_id().alias("_n"), row.alias("_row")), "rows")

@@ -5,14 +5,18 @@ from __future__ import annotations
 import contextlib
 import ctypes
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-#: Bytes of text that are worked on at once; a longer text is one piece.
+#: Bytes of text that are worked on at once; a longer text is one piece, which operators work through in segments.
 PIECE = 1 << 20
+#: Bytes of a word that its number holds as they are; longer words go by a digest.
+SHORT_WORD = 16
+KEYS = tuple(U(x) for x in (0x8E9D5AAB3C1F7E21, 0x3F84D5B5B5470917, 0xC0AC29B7C97C50DD, 0x9216D5D98979FB1B, 0xD1310BA698DFB5AC))
 
 
 def tidy(work):
@@ -100,6 +104,23 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(v[:-rest], v[rest:]) if rest else v
 
 
+def sliding_last_min(v: np.ndarray, width: int) -> np.ndarray:
+    """Place of the smallest of each `width` consecutive values, the rightmost on ties."""
+    at = np.arange(len(v))
+    if len(v) < width:
+        return at[:0]
+
+    def with_next(shift: int) -> tuple[np.ndarray, np.ndarray]:
+        right = v[shift:] <= v[:-shift]
+        return np.where(right, v[shift:], v[:-shift]), np.where(right, at[shift:], at[:-shift])
+
+    have = 1
+    while 2 * have <= width:
+        v, at = with_next(have)
+        have *= 2
+    return with_next(width - have)[1] if width > have else at
+
+
 def column(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts together and where each begins and the last ends; null counts as empty."""
     if isinstance(array, pa.ChunkedArray):
@@ -133,29 +154,83 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    space = SPACE[data]
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    before = np.empty(n, bool)
-    before[0] = True
-    before[1:] = space[:-1]
-    after = np.empty(n, bool)
-    after[-1] = True
-    after[:-1] = space[1:]
-    starts = np.flatnonzero(~space & (before | edge[:-1]))
-    ends = np.flatnonzero(~space & (after | edge[1:])) + 1
+    starts, ends = [], []
+    for a in range(0, n, 4 * PIECE):  # in stretches, as a long text would take several times its size in temporaries
+        z = min(n, a + 4 * PIECE)
+        space = SPACE[data[max(0, a - 1) : min(n, z + 1)]]
+        own = space[min(a, 1) : min(a, 1) + z - a]
+        inside = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, z, "right")]
+        before, after = np.ones(z - a, bool), np.ones(z - a, bool)
+        before[0 if a else 1 :] = space[: z - a - (0 if a else 1)]
+        after[: len(space) - min(a, 1) - 1] = space[min(a, 1) + 1 : min(a, 1) + 1 + z - a]
+        before[inside[inside < z] - a] = True
+        after[inside[inside > a] - a - 1] = True
+        starts.append(np.flatnonzero(~own & before) + a)
+        ends.append(np.flatnonzero(~own & after) + a + 1)
+    starts, ends = np.concatenate(starts), np.concatenate(ends)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_lanes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers for each word, the same for the same bytes.
+
+    A word of up to SHORT_WORD bytes is taken as it is and scrambled by a bijection of 128 bits (for its length), so
+    different words have different numbers; a longer one goes by a BLAKE2b digest of 128 bits.
+    """
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(SHORT_WORD, np.uint8)])
+    eight = np.ndarray((len(data) + SHORT_WORD - 7,), "<u8", padded, 0, (1,))
+    mask = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
+    a, b = eight[starts] & mask[np.clip(size, 0, 8)], eight[starts + 8] & mask[np.clip(size - 8, 0, 8)]
+    n = size.astype(U)
+    a = a ^ mix(b + KEYS[0] + n * KEYS[4])
+    b = b ^ mix(a + KEYS[1])
+    a ^= mix(b + KEYS[2])
+    b ^= mix(a + KEYS[3])
+    long = np.flatnonzero(size > SHORT_WORD)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(data))
+        raw = b"".join(blake2b(view[s:e], digest_size=16).digest() for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True))
+        a[long], b[long] = np.frombuffer(raw, "<u8").reshape(-1, 2).T
+    return a, b
+
+
+def segments(data: np.ndarray, overlap: int, size: int = 4 * PIECE) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of its first word, bytes) of stretches of one text: each overlap + 1 consecutive words are in just one of them.
+
+    A text of up to `size` bytes is one stretch; a longer one is cut at white space, after at most as many bytes unless words are longer.
+    """
+    at = word = 0
+    want = size
+    while True:
+        stop = min(len(data), at + want)
+        while stop < len(data) and not SPACE[data[stop - 1]]:
+            space = np.flatnonzero(SPACE[data[stop : stop + PIECE]])
+            stop = stop + int(space[0]) + 1 if len(space) else min(len(data), stop + PIECE)
+        if stop == len(data):
+            yield word, data[at:]
+            return
+        starts = word_spans(data[at:stop], np.array([0, stop - at]))[0]
+        if len(starts) <= overlap:
+            want *= 2
+            continue
+        yield word, data[at:stop]
+        fresh = len(starts) - overlap
+        at, word, want = (at + int(starts[fresh]) if overlap else stop), word + fresh, size
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Rolling(BYTE[data], BYTES).ranges(starts, ends)
+    return word_lanes(data, starts, ends)[0]
 
 
 def word_counts(array: pa.Array) -> np.ndarray:
     """Number of words of each text."""
     out = [np.zeros(0, np.int64)]
-    for _, _, data, offsets in pieces(array):
-        out.append(np.diff(word_spans(data, offsets)[2]))
+    for first, end, data, offsets in pieces(array):
+        if end - first == 1:
+            out.append(np.array([sum(len(word_spans(part, np.array([0, len(part)]))[0]) for _, part in segments(data, 0))], np.int64))
+        else:
+            out.append(np.diff(word_spans(data, offsets)[2]))
     return np.concatenate(out)
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm._features import adam, labelled_sample, matrices
+from tidemill.llm._features import adam, labelled_sample, matrices, packed_matrices, unpacked
 from tidemill.llm._state import prepare
 from tidemill.llm._text import tidy
 
@@ -70,19 +70,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Rows weigh as many labelled rows as they stand for, so that the selection doesn't shift where the sample is capped.
     """
-    texts, y, weight = labelled_sample(docs, labels, id_col, text_col, ["quality", "toxic"], sample)
-    if not len(texts):
+    prepare(docs.sparkSession)
+    rows, y, weight = labelled_sample(docs, labels, id_col, text_col, ["quality", "toxic"], sample, packed_matrices)
+    if not rows:
         return None
     grade = np.where(y[:, 0] > 0, np.where(y[:, 1] > 0, 1, 2), 0)
-    x = np.vstack([m for _, _, m in matrices(texts)])
-    return Ordinal.fit(x, grade, weight)
+    return Ordinal.fit(unpacked(rows), grade, weight)
 
 
 def score(docs: DataFrame, model: Ordinal | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, expected_grade, p_good (P(grade >= 1)), keep (p_good >= 0.5).
 
     A null text counts as empty. Without a model every document has grade and probability null and is kept.
-    Repeated rows get a row each; other columns are not read.
+    Repeated rows and rows without an id get a row each, an empty table gives none; other columns are not read,
+    whatever their names. Texts of any length are read whole, long ones in segments.
     """
     prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -101,7 +102,7 @@ def score(docs: DataFrame, model: Ordinal | None, id_col: str = "doc_id", text_c
 
 
 def select(docs: DataFrame, model: Ordinal | None, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose tail probability is at least 0.5, with all their columns."""
+    """The rows of docs whose tail probability is at least 0.5, with all their columns; without a model, all rows."""
     prepare(docs.sparkSession)
     if model is None:
         return docs

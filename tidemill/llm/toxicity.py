@@ -34,15 +34,30 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 class Table:
     """Features of many texts: (text, word) incidences and dense shapes."""
 
-    def __init__(self, array: pa.Array):
+    def __init__(self, rows: np.ndarray, words: np.ndarray, dense: np.ndarray):
+        self.rows, self.words, self.dense, self.n = rows, words, dense, len(dense)
+
+    @classmethod
+    def read(cls, array: pa.Array) -> Table:
         rows, words, dense = [np.zeros(0, np.int64)], [np.zeros(0, U)], [np.zeros((0, len(SHAPES)))]
         for first, _, data, offsets in pieces(array):
             r, h = word_rows(data, offsets)
             rows.append(r + first)
             words.append(h)
             dense.append(shapes(data, offsets))
-        self.rows, self.words, self.dense = np.concatenate(rows), np.concatenate(words), np.vstack(dense)
-        self.n = len(self.dense)
+        return cls(np.concatenate(rows), np.concatenate(words), np.vstack(dense))
+
+    def packed(self) -> list[bytes]:
+        """Shapes and words of each text."""
+        cut = np.searchsorted(self.rows, np.arange(self.n + 1))
+        return [self.dense[i].astype("<f8").tobytes() + self.words[cut[i] : cut[i + 1]].astype("<u4").tobytes() for i in range(self.n)]
+
+    @classmethod
+    def unpacked(cls, texts: list[bytes]) -> Table:
+        size = 8 * len(SHAPES)
+        words = [np.frombuffer(t, "<u4", offset=size).astype(U) for t in texts]
+        dense = np.array([np.frombuffer(t, "<f8", len(SHAPES)) for t in texts])
+        return cls(np.repeat(np.arange(len(texts)), [len(w) for w in words]), np.concatenate(words), dense)
 
     def only(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(text, number of the word) of the incidences of the given sorted words."""
@@ -115,8 +130,8 @@ class Chain:
         return found
 
     @classmethod
-    def fit(cls, names: list[str], array: pa.Array, y: np.ndarray, weight: np.ndarray) -> Chain:
-        table, every = Table(array), np.ones(len(y), bool)
+    def fit(cls, names: list[str], table: Table, y: np.ndarray, weight: np.ndarray) -> Chain:
+        every = np.ones(len(y), bool)
         fold = np.arange(len(y)) % FOLDS
         earlier = np.zeros((len(y), 0))
         links = []
@@ -133,18 +148,20 @@ class Chain:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, chain=CHAIN, sample: int = SAMPLE) -> Chain | None:
     """The chain of at most `sample` labelled rows for each combination of labels; None without labelled rows."""
     columns = list(dict.fromkeys(c for _, c, _ in chain))
-    texts, y, weight = labelled_sample(docs, labels, id_col, text_col, columns, sample)
-    if not len(texts):
+    prepare(docs.sparkSession)
+    texts, y, weight = labelled_sample(docs, labels, id_col, text_col, columns, sample, lambda array: Table.read(array).packed())
+    if not texts:
         return None
     wanted = np.column_stack([(y[:, columns.index(c)] == v).astype(float) for _, c, v in chain])
-    return Chain.fit([name for name, _, _ in chain], texts, wanted, weight)
+    return Chain.fit([name for name, _, _ in chain], Table.unpacked(texts), wanted, weight)
 
 
 def score(docs: DataFrame, model: Chain | None, id_col: str = "doc_id", text_col: str = "text", *, chain=CHAIN) -> DataFrame:
     """One row per row of docs: id, and p_<category>, <category> (probability over one half) for each category of the chain.
 
-    A null text counts as empty. Without a model probabilities are null and nothing is flagged. Repeated rows get a
-    row each; other columns are not read.
+    A null text counts as empty. Without a model probabilities are null and nothing is flagged. Repeated rows and
+    rows without an id get a row each, an empty table gives none; other columns are not read, whatever their names.
+    Texts of any length are read whole, long ones in segments.
     """
     prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -157,7 +174,7 @@ def score(docs: DataFrame, model: Chain | None, id_col: str = "doc_id", text_col
     def work(batches):
         for b in batches:
             for first, end, _, _ in pieces(b.column(1)):
-                p = sent.value.predict(Table(b.column(1).slice(first, end - first)))
+                p = sent.value.predict(Table.read(b.column(1).slice(first, end - first)))
                 cols = [x for i in range(len(names)) for x in (pa.array(p[:, i]), pa.array(p[:, i] > 0.5))]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), *cols], ["_id", *[x for c in names for x in (f"p_{c}", c)]])
 

@@ -3,6 +3,7 @@
 Of each `window` consecutive hashes of k-grams of code points the smallest is kept, the rightmost on ties, with its
 place. Two texts that share a passage of at least window + k - 1 code points share a kept hash. A text with fewer
 k-grams than a window has its smallest one; a text shorter than k has the hash of the whole; an empty text none.
+Texts of any length are read whole; a long one is worked through in segments, each window being in one of them.
 """
 
 from __future__ import annotations
@@ -16,37 +17,54 @@ from pyspark.sql import functions as F
 
 from tidemill.llm._repeats import one_row_each
 from tidemill.llm._state import prepare
-from tidemill.llm._text import U, UNITS, Rolling, mix, ragged, sliding_min, tidy
+from tidemill.llm._text import U, UNITS, Rolling, mix, ragged, sliding_last_min, tidy
 
 K, WINDOW = 12, 16
 #: Code points that are worked on at once.
 LOAD = 1 << 19
-#: Ranges of ids at most, each streamed by one task.
-MOST_RANGES = 10_000
-PLACE = 30
+#: Bytes of text that a range of ids has about, which one task streams; ranges at most, beyond which they grow.
+RANGE, MOST_RANGES = 32 << 20, 50_000
 
 
 def winnow(texts: list[str], k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of the text, hash, place) of what is kept of each text, in order."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64))]
+    for first, end in _loads(texts):
+        if end - first == 1 and len(texts[first]) > 2 * LOAD:
+            row, h, place = _kept_of_long(texts[first], k, window)
+        else:
+            row, h, place = _kept(texts[first:end], k, window)
+        found.append((row + first, h, place))
+    row, h, place = (np.concatenate(x) for x in zip(*found, strict=True))
+    return row, h, place
+
+
+def _kept_of_long(text: str, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    span = window + k - 1
+    found = [_kept([text[a : a + LOAD + span - 1]], k, window)[1:] + (a,) for a in range(0, len(text) - span + 1, LOAD)]
+    h, place = np.concatenate([x for x, _, _ in found]), np.concatenate([p + a for _, p, a in found])
+    place, first = np.unique(place, return_index=True)
+    return np.zeros(len(place), np.int64), h[first], place
+
+
+def _kept(texts: list[str], k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.array([len(t) for t in texts], np.int64)
     begin = np.cumsum(sizes) - sizes
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(U)
     roll = Rolling(mix(points + U(0x9E3779B97F4A7C15)), UNITS)
     text = np.repeat(np.arange(len(texts)), sizes)
     grams = roll.grams(k)
-    # equal hashes: the greater place is the smaller value
-    order = (grams >> U(PLACE)) << U(PLACE) | (U((1 << PLACE) - 1) - np.arange(len(grams), dtype=U))
-    low = sliding_min(order, window)
+    low = sliding_last_min(grams, window)
     span = window + k - 1
     inside = text[: len(low)] == text[span - 1 : span - 1 + len(low)] if len(low) else np.zeros(0, bool)
-    at = np.unique(((1 << PLACE) - 1) - (low[inside] & U((1 << PLACE) - 1)).astype(np.int64))
+    at = np.unique(low[inside])
     rows, hashes, places = [text[at]], [grams[at]], [at - begin[text[at]]]
     for i in np.flatnonzero((sizes > 0) & (sizes < span)).tolist():
         b, n = int(begin[i]), int(sizes[i])
         if n < k:
             place, h = 0, roll.ranges(np.array([b]), np.array([b + n]))[0]
         else:
-            place = int(np.argmin(order[b : b + n - k + 1]))
+            place = n - k - int(np.argmin(grams[b : b + n - k + 1][::-1]))
             h = grams[b + place]
         rows.append(np.array([i]))
         hashes.append(np.array([h], U))
@@ -79,7 +97,8 @@ def likeness(a: tuple, b: tuple, pairs: list[tuple[int, int]]) -> np.ndarray:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = K, window: int = WINDOW) -> DataFrame:
     """One row per row of docs: id, n_chars, hashes (array<long>), places (array<int>, in code points).
 
-    A null text counts as empty. Repeated rows get a row each; other columns are not read.
+    A null text counts as empty. Repeated rows and rows without an id get a row each, an empty table gives none; other
+    columns are not read, whatever their names.
     """
     prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -129,15 +148,17 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The edited text is the text whose last floor(n/3) code points are replaced by the first as many (or all) of
     the next document. One row per document: id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next. A null text counts as empty; of rows that repeat an id the smallest text stays; rows
-    without an id are left out; a single document is its own next; no rows give no rows.
+    without an id are left out; a single document is its own next; no rows give no rows; other columns are not read,
+    whatever their names.
 
-    Ranges of ids begin at ids that exist, so each range's first document can also be sent, once, to the end of the
+    Ranges of ids, as many as the bytes of all texts need, begin at ids that exist, so each range's first document can also be sent, once, to the end of the
     range before it; every task then streams its documents with their successors.
     """
     spark = docs.sparkSession
     prepare(spark)
     texts = one_row_each(docs, id_col, text_col)
-    ranges = max(1, min(MOST_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    bytes_ = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    ranges = min(MOST_RANGES, max(1, bytes_ // RANGE, min(200, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     cuts = ", ".join(repr(i / ranges) for i in range(1, ranges)) or "0.5"
     found = texts.select(F.expr(f"percentile_approx(_id, array({cuts}), {max(10_000, 20 * ranges)})").alias("p"), F.max("_id").alias("m")).first()
     heads = np.unique(np.array([*(found["p"] or []), *([] if found["m"] is None else [found["m"]])], np.int64))[::-1]  # descending
