@@ -4,8 +4,8 @@ Each window of L units owns the anchor with the smallest hash among its k-grams
 windows own equal anchors at equal offsets. The windows that one anchor occurrence owns are consecutive; with the
 text they cover they are a *context*. Only contexts that share an anchor can share a window:
 
-1. Each context becomes a slim row (anchor hash, context hash, document, start, windows). Contexts equal to one
-   before them in the same Arrow batch leave at once as removed; the others are dealt and sorted by anchor.
+1. Each context becomes a slim row (anchor hash, BLAKE2b digest of its text, document, start, windows). Contexts equal
+   to earlier ones that the same task has seen leave at once as removed; the others are dealt and sorted by anchor.
 2. A pass over the sorted rows drops anchors that don't recur, marks contexts that equal earlier ones, and names
    the contexts that must be compared. One row at most is held back, however large an anchor's group is.
 3. The text of contexts to compare is cut out and dealt by anchor (windows of very frequent anchors one by one, by
@@ -15,8 +15,9 @@ text they cover they are a *context*. Only contexts that share an anchor can sha
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm._state import Steps, prepare
-from tidemill.llm._text import BYTE, BYTES, U, UNITS, Rolling, mix, pieces, ragged, sliding_min, tidy, word_hashes, word_spans
+from tidemill.llm._text import BYTE, PIECE, U, UNITS, Rolling, mix, pieces, ragged, segments, sliding_min, tidy, word_hashes, word_spans
 
 #: Low bits of a k-gram's order value that hold its place in the piece of text at hand.
 PLACE = 30
@@ -34,6 +35,10 @@ HOT = 4096
 BROADCAST_ANCHORS = 500_000
 #: Bytes of contexts that an engine works on at once.
 LOAD = 1 << 19
+#: Contexts that came often which a task remembers.
+KNOWN = 1 << 18
+#: White space of any kind becomes a space.
+BLANK = bytes(0x20 if b in (0x20, *range(0x09, 0x0E)) else b for b in range(256))
 
 #: (bytes of each context, their numbers of windows) -> for each window in turn whether it occurs earlier
 Engine = Callable[[list[bytes], np.ndarray], np.ndarray]
@@ -49,19 +54,54 @@ class Plan:
     compared: int
     engine: Engine
 
-    def units(self, data: np.ndarray, offsets: np.ndarray):
-        """Hash of each unit, number of the first unit of each text, and (for words) the spans."""
+    def spans(self, data: np.ndarray, offsets: np.ndarray):
+        """Number of the first unit of each text (and the end), and for words where they begin and end."""
         if not self.words:
-            return BYTE[data], offsets, None
+            return offsets, None
         starts, ends, where = word_spans(data, offsets)
-        return word_hashes(data, starts, ends), where, (starts, ends)
+        return where, (starts, ends)
+
+    def parts(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(number of its first unit, bytes, offsets) of a piece, or of segments of one long text; each window is in one of them."""
+        if len(offsets) > 2 or len(data) <= 4 * PIECE:
+            yield 0, data, offsets
+        elif self.words:
+            yield from ((first, part, np.array([0, len(part)])) for first, part in segments(data, self.length - 1))
+        else:
+            for a in range(0, len(data) - self.length + 1, 4 * PIECE):
+                part = data[a : a + 4 * PIECE + self.length - 1]
+                yield a, part, np.array([0, len(part)])
+
+    def read(self, data: np.ndarray, offsets: np.ndarray):
+        """Hash of each unit, number of the first unit of each text, the text in a plain form, and where units begin and end in it."""
+        if not self.words:
+            at = np.arange(len(data) + 1)
+            return BYTE[data], offsets, data.tobytes(), at[:-1], at[1:]
+        starts, ends, where = word_spans(data, offsets)
+        raw = data.tobytes()
+        plain = b" ".join([w for a, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for w in raw[a:e].split()])
+        stop = np.cumsum(ends - starts + 1) - 1
+        return word_hashes(data, starts, ends), where, plain, stop - (ends - starts), stop
+
+
+def digests(raw: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each stretch of bytes."""
+    return np.frombuffer(b"".join([blake2b(raw[a:e], digest_size=8).digest() for a, e in zip(start.tolist(), stop.tolist(), strict=True)]), "<u8").astype(U)
+
+
+def one_space(words: bytes) -> bytes:
+    """Words with one space between them, whatever white space was there."""
+    words = words.translate(BLANK).strip(b" ")
+    while b"  " in words:
+        words = words.replace(b"  ", b" ")
+    return words
 
 
 def contexts(values: np.ndarray, where: np.ndarray, k: int, length: int):
-    """(text, start, windows, anchor hash, context hash) of each context of the texts that begin at `where`."""
+    """(text, start, windows, anchor hash, place of the first unit) of each context of the texts that begin at `where`."""
     none = np.zeros(0, np.int64)
     if len(values) < length:
-        return none, none, none, none.view(U), none.view(U)
+        return none, none, none, none.view(U), none
     roll = Rolling(values, UNITS)
     grams = roll.grams(k)
     order = (grams >> U(PLACE)) << U(PLACE) | np.arange(len(grams), dtype=U)
@@ -74,7 +114,7 @@ def contexts(values: np.ndarray, where: np.ndarray, k: int, length: int):
     at = np.flatnonzero(new)
     # a context ends where the next begins or where windows would leave the text
     stop = np.flatnonzero(valid & ~np.append(valid[1:] & ~new[1:], False)) + 1
-    return text[at], at - where[text[at]], stop - at, grams[owner[at]], roll.ranges(at, stop - 1 + length)
+    return text[at], at - where[text[at]], stop - at, grams[owner[at]], at
 
 
 def _merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -88,36 +128,73 @@ MARK = "_id long, _start long, _n long, _anchor long, _kind int"
 REMOVE, COMPARE = 0, 1
 
 
+class _Known:
+    """Contexts that a task has handed on as often as they may be compared, and the first place of each among those."""
+
+    def __init__(self):
+        self.ctx = self.anchor = np.zeros(0, U)
+        self.id = self.start = np.zeros(0, np.int64)
+
+    def later(self, anchor, ctx, ids, start) -> np.ndarray:
+        """Which contexts equal a known one that is before them."""
+        if not len(self.ctx):
+            return np.zeros(len(ctx), bool)
+        at = np.minimum(np.searchsorted(self.ctx, ctx), len(self.ctx) - 1)
+        same = (self.ctx[at] == ctx) & (self.anchor[at] == anchor)
+        return same & ((self.id[at] < ids) | ((self.id[at] == ids) & (self.start[at] < start)))
+
+    def add(self, anchor, ctx, ids, start) -> None:
+        c, a, i, s = (np.concatenate(x) for x in ((self.ctx, ctx), (self.anchor, anchor), (self.id, ids), (self.start, start)))
+        order = np.lexsort((s, i, c))
+        first = np.ones(len(order), bool)
+        first[1:] = c[order][1:] != c[order][:-1]
+        order = order[first]
+        if len(order) > KNOWN:  # begin anew with those that came now
+            self.__init__()
+            return
+        self.ctx, self.anchor, self.id, self.start = c[order], a[order], i[order], s[order]
+
+
 def _slim(texts: DataFrame, plan: Plan) -> DataFrame:
-    """(_anchor, _ctx, _id, _start, _n, _dup) of all contexts; _dup: equals an earlier one of its batch (then _anchor is any)."""
+    """(_anchor, _ctx, _id, _start, _n, _dup) of all contexts; _dup: enough earlier ones equal it (then _anchor is any)."""
 
     def work(batches):
+        known = _Known()
         for b in batches:
             ids_all = b.column(0).to_numpy(zero_copy_only=False)
-            found = []
-            for first, end, data, offsets in pieces(b.column(1)):
-                values, where, _ = plan.units(data, offsets)
-                text, start, n, anchor, ctx = contexts(values, where, plan.k, plan.length)
-                found.append((ids_all[first:end][text] if len(text) else np.zeros(0, np.int64), start, n, anchor, ctx))
-            if not found:
-                continue
-            ids, start, n, anchor, ctx = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((start, ids, ctx, anchor))
-            dup = np.zeros(len(order), bool)
-            dup[1:] = (anchor[order][1:] == anchor[order][:-1]) & (ctx[order][1:] == ctx[order][:-1])
-            run = ragged(np.diff(np.append(np.flatnonzero(~dup), len(order)))) if len(order) else np.zeros(0, np.int64)
-            late = np.zeros(len(order), bool)
-            late[order] = run >= plan.compared
-            yield pa.RecordBatch.from_arrays([pa.array(x[~late].view(np.int64) if x.dtype == U else x[~late]) for x in (anchor, ctx, ids, start, n)] + [pa.array(np.zeros(int((~late).sum()), bool))], names)
-            if late.any():
-                order = np.flatnonzero(late)
-                order = order[np.lexsort((start[order], ids[order]))]
-                i, s, e = ids[order], start[order], start[order] + n[order]
-                at = _merged(i, s, e)
-                e = np.maximum.reduceat(e, at)
-                i, s = i[at], s[at]
-                spread = mix(i.astype(np.int64).view(U) ^ (s.astype(np.int64).view(U) << U(32))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (spread, spread, i, s, e - s, np.ones(len(i), bool))], names)
+            for first, end, data, offsets in pieces(b.column(1), 8 * PIECE):
+                for base, part, cut in plan.parts(data, offsets):
+                    values, where, plain, begin, stop = plan.read(part, cut)
+                    text, start, n, anchor, at = contexts(values, where, plan.k, plan.length)
+                    if not len(text):
+                        continue
+                    ctx = digests(plain, begin[at], stop[at + n - 2 + plan.length])
+                    del values, plain, begin, stop
+                    yield from told(known, ids_all[first:end][text], start + base, n, anchor, ctx)
+
+    def told(known, ids, start, n, anchor, ctx):
+        late = known.later(anchor, ctx, ids, start)
+        order = np.flatnonzero(~late)
+        order = order[np.lexsort((start[order], ids[order], ctx[order], anchor[order]))]
+        if len(order):
+            new = np.ones(len(order), bool)
+            new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (ctx[order][1:] != ctx[order][:-1])
+            at = np.flatnonzero(new)
+            size = np.diff(np.append(at, len(order)))
+            late[order[ragged(size) >= plan.compared]] = True
+            often = order[at[size >= max(plan.compared, 2)]]
+            if len(often):
+                known.add(anchor[often], ctx[often], ids[often], start[often])
+        yield pa.RecordBatch.from_arrays([pa.array(x[~late].view(np.int64) if x.dtype == U else x[~late]) for x in (anchor, ctx, ids, start, n)] + [pa.array(np.zeros(int((~late).sum()), bool))], names)
+        if late.any():
+            order = np.flatnonzero(late)
+            order = order[np.lexsort((start[order], ids[order]))]
+            i, s, e = ids[order], start[order], start[order] + n[order]
+            at = _merged(i, s, e)
+            e = np.maximum.reduceat(e, at)
+            i, s = i[at], s[at]
+            spread = mix(i.astype(np.int64).view(U) ^ (s.astype(np.int64).view(U) << U(32))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (spread, spread, i, s, e - s, np.ones(len(i), bool))], names)
 
     names = ["_anchor", "_ctx", "_id", "_start", "_n", "_dup"]
     return texts.mapInArrow(tidy(work), "_anchor long, _ctx long, _id long, _start long, _n long, _dup boolean")
@@ -190,7 +267,7 @@ def _cut(texts: DataFrame, compare: DataFrame, plan: Plan) -> DataFrame:
         for b in batches:
             lists = b.column(2)
             for first, end, data, offsets in pieces(b.column(1)):
-                values, where, spans = plan.units(data, offsets)
+                where, spans = plan.spans(data, offsets)
                 sizes = np.array([len(lists[i]) for i in range(first, end)], np.int64)
                 flat = lists.slice(first, end - first).flatten()
                 start, n, anchor, hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
@@ -202,16 +279,14 @@ def _cut(texts: DataFrame, compare: DataFrame, plan: Plan) -> DataFrame:
                     row, anchor, n, hot = (np.repeat(x, times) for x in (row, anchor, np.where(hot, 1, n), hot))
                 at = where[row] + start
                 stop = at + n - 1 + plan.length
+                if spans is not None:
+                    at, stop = spans[0][at], spans[1][stop - 1]
+                raw = data.tobytes()
+                texts_ = [raw[a:e] for a, e in zip(at.tolist(), stop.tolist(), strict=True)]
                 key = anchor.copy()
-                if hot.any():
-                    whole = Rolling(values, UNITS).ranges(at, stop)
-                    key[hot] = mix(key[hot].view(U) ^ whole[hot]).view(np.int64)
-                if spans is None:
-                    raw = data.tobytes()
-                    texts_ = [raw[a:e] for a, e in zip(at.tolist(), stop.tolist(), strict=True)]
-                else:
-                    raw = data.tobytes()
-                    texts_ = [raw[a:e] for a, e in zip(spans[0][at].tolist(), spans[1][stop - 1].tolist(), strict=True)]
+                for i in np.flatnonzero(hot).tolist():
+                    whole = one_space(texts_[i]) if plan.words else texts_[i]
+                    key[i] = int.from_bytes(blake2b(whole, digest_size=8).digest(), "little", signed=True) ^ int(anchor[i])
                 ids = b.column(0).slice(first, end - first).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(key), ids, pa.array(start), pa.array(n), pa.array(texts_, pa.binary())], ["_key", "_id", "_start", "_n", "_bytes"])
 
@@ -282,43 +357,38 @@ def without_repeats(docs: DataFrame, id_col: str, text_col: str, plan: Plan, nam
     def work(batches):
         for b in batches:
             for first, end, data, offsets in pieces(b.column(1)):
-                values, where, spans = plan.units(data, offsets)
-                total = len(values)
-                change = np.zeros(total + 1, np.int64)
-                lists = b.column(2).slice(first, end - first)
+                where, spans = plan.spans(data, offsets)
+                n = end - first
+                lists = b.column(2).slice(first, n)
                 sizes = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
-                row = np.repeat(np.arange(end - first), sizes)
+                row = np.repeat(np.arange(n), sizes)
                 if len(row):
                     flat = lists.drop_null().flatten()
-                    start, stop = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
-                    np.add.at(change, where[row] + start, 1)
-                    np.add.at(change, where[row] + stop, -1)
-                cover = np.cumsum(change[:-1]) > 0
-                text = np.repeat(np.arange(end - first), np.diff(where))
-                edge = np.ones(total + 1, bool)
-                edge[1:total] = (cover[1:] != cover[:-1]) | (text[1:] != text[:-1])
-                at = np.flatnonzero(edge)
-                begin, stop = at[:-1], at[1:]
-                hit = cover[begin] if total else np.zeros(0, bool)
-                begin, stop = begin[hit], stop[hit]
-                spans_row = text[begin]
-                raw = data.tobytes()
-                n = end - first
-                n_spans = np.bincount(spans_row, minlength=n)
+                    begin, stop = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+                    order = np.lexsort((begin, row))
+                    row, begin, stop = row[order], begin[order], stop[order]
+                    # stretches that touch or overlap are one: ends so far, the texts laid one after the other with a gap
+                    far = np.maximum.accumulate(stop + where[row] + row)
+                    new = np.ones(len(row), bool)
+                    new[1:] = begin[1:] + where[row[1:]] + row[1:] > far[:-1]
+                    at = np.flatnonzero(new)
+                    stop = np.maximum.reduceat(stop, at)
+                    row, begin = row[at], begin[at]
+                else:
+                    begin = stop = row
+                n_spans = np.bincount(row, minlength=n)
+                removed = np.bincount(row, stop - begin, minlength=n).astype(np.int64)
                 cut = np.concatenate([[0], np.cumsum(n_spans)])
-                kept = []
+                raw, kept = data.tobytes(), []
                 for i in range(n):
-                    if not n_spans[i]:
-                        a, e = offsets[i], offsets[i + 1]
-                        kept.append(raw[a:e] if spans is None else b" ".join(raw[a:e].split()))
+                    # what lies between the stretches
+                    a, e = np.append(0, stop[cut[i] : cut[i + 1]]) + where[i], np.append(begin[cut[i] : cut[i + 1]], where[i + 1] - where[i]) + where[i]
+                    a, e = a[e > a], e[e > a]
+                    if spans is None:
+                        kept.append(b"".join([raw[x:y] for x, y in zip(a.tolist(), e.tolist(), strict=True)]))
                     else:
-                        left = np.flatnonzero(~cover[where[i] : where[i + 1]]) + where[i]
-                        if spans is None:
-                            kept.append(data[left].tobytes())
-                        else:
-                            kept.append(b" ".join([raw[a:e] for a, e in zip(spans[0][left].tolist(), spans[1][left].tolist(), strict=True)]))
-                removed = np.bincount(text, cover, minlength=n).astype(np.int64) if total else np.zeros(n, np.int64)
-                pairs = pa.StructArray.from_arrays([pa.array(begin - where[spans_row]), pa.array(stop - where[spans_row])], ["start", "end"])
+                        kept.append(b" ".join([one_space(raw[x:y]) for x, y in zip(spans[0][a].tolist(), spans[1][e - 1].tolist(), strict=True)]))
+                pairs = pa.StructArray.from_arrays([pa.array(begin), pa.array(stop)], ["start", "end"])
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(first, n), pa.array(np.diff(where)), pa.array(removed), pa.array(n_spans.astype(np.int64)), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pairs), pa.array(kept, pa.binary())],
                     ["_id", "n_units", "n_removed", "n_spans", "removed", "kept"],

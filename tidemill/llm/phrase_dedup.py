@@ -16,9 +16,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from tidemill.llm._repeats import Plan, without_repeats
-from tidemill.llm._text import UNITS, Rolling, U, ragged
+from tidemill.llm._text import UNITS, Rolling, U, mix, ragged
 
-#: Equal contexts of one anchor that run through the automaton; later ones equal an earlier one word for word.
+#: Equal contexts of one anchor that run through the automaton; later ones equal an earlier one by anchor and digest.
 COMPARED = 64
 
 
@@ -48,7 +48,7 @@ class Automata:
         size = n[rows]
         flat = np.fromiter(chain.from_iterable(split.values()), np.int64)
         begin = np.repeat(np.cumsum(size + length - 1) - (size + length - 1), size) + ragged(size)
-        hashes = Rolling((flat.astype(U) + U(1)) * U(0x9E3779B97F4A7C15), UNITS).ranges(begin, begin + length)
+        hashes = Rolling(mix(flat.astype(U) + U(1)), UNITS).ranges(begin, begin + length)
         _, first, number, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         row, offset = np.repeat(rows, size), ragged(size)
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
@@ -79,7 +79,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Removed is each word covered by a window of `length` words that also starts earlier: in a document with a
     smaller id, or before in the same one. Windows are judged on the input. Null, empty and short texts lose
     nothing; of rows that repeat an id only the smallest text counts and gets a row; rows without an id are left
-    out; other columns are not read. An empty table gives no rows.
+    out; other columns are not read, whatever their names. An empty table gives no rows. Texts of any length are
+    read whole; long ones are searched in segments that overlap.
     """
     plan = Plan(words=True, length=length, k=k, compared=COMPARED, engine=Automata(length))
     return without_repeats(docs, id_col, text_col, plan, "phrase-dedup").withColumnRenamed("n_units", "n_words")

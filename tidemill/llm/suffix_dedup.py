@@ -89,7 +89,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Removed is each byte of the UTF-8 text covered by a string of `length` bytes that also starts earlier: in a
     document with a smaller id, or before in the same one. Strings are judged on the input and never cross
     documents. Null, empty and short texts lose nothing; of rows that repeat an id only the smallest text counts
-    and gets a row; rows without an id are left out; other columns are not read. An empty table gives no rows.
+    and gets a row; rows without an id are left out; other columns are not read, whatever their names. An empty table
+    gives no rows. Texts of any length are read whole; long ones are searched in segments that overlap.
     """
     plan = Plan(words=False, length=length, k=k, compared=1, engine=PreviousFactors(length))
     return without_repeats(docs, id_col, text_col, plan, "suffix-dedup").withColumnRenamed("n_units", "n_bytes")
