@@ -180,3 +180,50 @@ def test_strings_as_long_as_times_are_strings(spark, tmp_path):
     assert rows_of(t.read(where=[("name", "=", "r")])) == [("r",)]
     t.delete([("name", "=", "r")])
     assert rows_of(t.read()) == [("a" * 26,)]
+
+
+def test_marked_rows_are_gone(spark, table):
+    """Deletes and merges without a rewrite, twice in the same files, then packing, restoring and vacuuming."""
+    before = rows_of(table.read())
+    table.delete([("id", "<", 10)], vectors=True)
+    assert rows_of(table.read()) == [r for r in before if r[0] >= 10] and table.last_metrics()["rows_deleted"] == 10
+    feed = numbers(spark, 8, 14).withColumn("hash", F.lit("new"))
+    done = table.merge(feed, ["id"], "hash", vectors=True)
+    assert (done["inserted"], done["updated"], done["copied"], done["files_removed"]) == (2, 4, 0, 0)
+    got = {r["id"]: r["hash"] for r in table.read().collect()}
+    assert sorted(got) == list(range(8, 100)) and {i for i, h in got.items() if h == "new"} == set(range(8, 14))
+    assert table.detail()["rows"] == 92 and [c["rows"] for c in table.census()] == [100, 90, 92]
+    assert rows_of(table.read(0)) == before and table.read(1).count() == 90
+    assert rows_of(table.read(where=[("id", "=", 9)])) == [r for r in rows_of(table.read()) if r[0] == 9]
+    changes = {r["change"]: r["count"] for r in table.changes(1, 2).groupBy("change").count().collect()}
+    assert changes == {"insert": 6, "delete": 4}
+    again = table.merge(feed, ["id"], "hash", vectors=True)
+    assert (again["inserted"], again["updated"], again["noop"]) == (0, 0, 6)
+    now = rows_of(table.read())
+    table.delete([("id", ">=", 90)])  # a rewrite of files with marks
+    assert rows_of(table.read()) == [r for r in now if r[0] < 90]
+    table.restore(3)
+    assert rows_of(table.read()) == now
+    table.vacuum(0, unsafe=True)
+    assert rows_of(table.read()) == now
+    table.optimize(1 << 30)
+    assert rows_of(table.read()) == now and not any(f.gone for f in table.files())
+
+
+def test_files_without_rows_left_go(spark, table):
+    table.delete([("id", ">=", 0)], vectors=True)
+    assert table.files() == [] and table.read().count() == 0 and table.read(0).count() == 100
+
+
+def test_null_statistics_count_marked_rows(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "n"))
+    t.create(spark.range(10).select("id", F.when(F.col("id") >= 6, F.col("id")).alias("v")).coalesce(1))
+    t.delete([("id", "<", 4)], vectors=True)  # six of ten values are null, and six rows are left
+    assert t.read(where=[("v", ">=", 6)]).count() == 4
+
+
+def test_checkpoints_keep_marks(spark, table):
+    table.delete([("id", "<", 10)], vectors=True)
+    for i in range(10):
+        table.append(numbers(spark, 1000 + i, 1001 + i))
+    assert table.log.checkpoints() == [10] and table.read().count() == 100

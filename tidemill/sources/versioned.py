@@ -3,6 +3,9 @@
 A table is a folder of immutable Parquet files and a log of commits (see log.py). Readers get an explicit list of the
 files of a snapshot. Files carry row counts and minima, maxima and null counts of their columns, by which reads and
 rewrites skip files; what is skipped never changes a result, as predicates are applied to the rows too.
+
+Deletes and merges rewrite the files that they touch or, with vectors=True, write the numbers of the rows that go beside
+them; readers leave those rows out, and packing writes such files anew.
 """
 
 from __future__ import annotations
@@ -10,9 +13,11 @@ from __future__ import annotations
 import calendar
 import json
 import math
+import os
 import time
 import uuid
 from collections.abc import Iterable
+from dataclasses import replace
 from datetime import date, datetime
 from decimal import Decimal
 from typing import Any
@@ -28,6 +33,11 @@ from tidemill.sources.log import DataFile, Folder, Layout, Log, Snapshot
 #: Statistics are kept of the first columns only, as wide tables would make the log large.
 STAT_COLUMNS = 32
 _ORDERED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+#: Names of the columns that tell where a row is.
+FILE, ROW = "__file", "__row"
+MARKS = f"{FILE} string, {ROW} bigint"
+#: Deleted rows of the files that are read up to which their numbers are broadcast.
+BROADCAST_MARKS = 1_000_000
 #: (column, operator, value): =, <, <=, >, >=, in; joined by and.
 Predicate = tuple[str, str, Any]
 
@@ -61,7 +71,7 @@ def may_hold(f: DataFile, where: Iterable[Predicate], kinds: dict[str, T.DataTyp
     kinds are the columns' types; without them, text of 26 characters counts as a time.
     """
     for c, op, v in where:
-        if f.rows and f.nulls.get(c) == f.rows:
+        if f.rows and f.nulls.get(c) == f.rows + f.gone_rows:
             return False
         low, high = f.low.get(c), f.high.get(c)
         if low is None or high is None:
@@ -105,11 +115,47 @@ class VersionedTable:
         df = self._frame(self.log.snapshot(version), where)
         return df.filter(as_column(where)) if where else df
 
-    def _frame(self, s: Snapshot, where: Iterable[Predicate] = (), only: Iterable[str] | None = None) -> DataFrame:
+    def _frame(self, s: Snapshot, where: Iterable[Predicate] = (), only: Iterable[str] | None = None, located: bool = False) -> DataFrame:
+        """Rows of files; located adds FILE and ROW, the file's name and the row's number in it."""
         schema = T.StructType.fromJson(json.loads(s.layout.schema))
         where, kinds = list(where), _kinds(s)
-        paths = [f"{self.folder.root}/{f.path}" for f in s.files.values() if may_hold(f, where, kinds)] if only is None else [f"{self.folder.root}/{p}" for p in only]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        files = [f for f in s.files.values() if may_hold(f, where, kinds)] if only is None else [s.files[p] for p in only]
+        cols = [named(f.name) for f in schema.fields]
+        place = [F.substring_index("_metadata.file_path", "/data/", -1).alias(FILE), F.col("_metadata.row_index").alias(ROW)]
+        parts = []
+        for pruned in (False, True):
+            paths = [f"{self.folder.root}/{f.path}" for f in files if bool(f.gone) is pruned]
+            if not paths:
+                continue
+            df = self.spark.read.schema(schema).parquet(*paths)
+            if pruned or located:
+                df = df.select(*cols, *place)
+            if pruned:
+                marks = self._marks([f for f in files if f.gone])
+                df = df.join(F.broadcast(marks) if sum(f.gone_rows for f in files) <= BROADCAST_MARKS else marks, [FILE, ROW], "left_anti")
+            parts.append(df if located or not pruned else df.select(*cols))
+        if not parts:
+            empty = T.StructType([*schema.fields, *([T.StructField(FILE, T.StringType()), T.StructField(ROW, T.LongType())] if located else [])])
+            return self.spark.createDataFrame([], empty)
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    def _marks(self, files: list[DataFile]) -> DataFrame:
+        """(FILE, ROW) of the rows of files that were deleted without a rewrite."""
+        if not files:
+            return self.spark.createDataFrame([], MARKS)
+        folder = F.substring_index(F.substring_index("_metadata.file_path", "/data/", -1), "/", 1)
+        marks = self.spark.read.schema(MARKS).parquet(*sorted({f"{self.folder.root}/{f.gone}" for f in files})).select(FILE, ROW, folder.alias("_of"))
+        # a folder can hold marks of files that have others by now
+        now = self.spark.createDataFrame([(f.path.removeprefix("data/"), f.gone.removeprefix("data/")) for f in files], f"{FILE} string, _of string")
+        return marks.join(now, [FILE, "_of"]).select(FILE, ROW)
+
+    def _without(self, s: Snapshot, rows: DataFrame, touched: list[str]) -> list[DataFile]:
+        """The touched files (without those that have no row left) after rows (FILE, ROW) went by their numbers only."""
+        name = f"data/{uuid.uuid4().hex}-gone"
+        rows.unionByName(self._marks([s.files[p] for p in touched if s.files[p].gone])).write.parquet(f"{self.folder.root}/{name}")
+        counts = {f"data/{r[FILE]}": r["count"] for r in self.spark.read.schema(MARKS).parquet(f"{self.folder.root}/{name}").groupBy(FILE).count().collect()}
+        out = [replace(f, rows=f.rows + f.gone_rows - counts[p], gone=name, gone_rows=counts[p]) for p in touched for f in [s.files[p]]]
+        return [f for f in out if f.rows]
 
     def files(self, version: int | None = None, where: Iterable[Predicate] = ()) -> list[DataFile]:
         where, s = list(where), self.log.snapshot(version)
@@ -208,13 +254,20 @@ class VersionedTable:
         listed = [p for p, f in s.files.items() if may_hold(f, where, kinds)]
         if not listed:
             return []
-        found = self._frame(s, only=listed).filter(condition).select(F.col("_metadata.file_path").alias("p")).distinct().collect()
-        by_end = {p.rsplit("data/", 1)[-1]: p for p in listed}
-        return [by_end[r["p"].rsplit("data/", 1)[-1]] for r in found]
-
-    def delete(self, where: Iterable[Predicate], *, user_metadata: dict | None = None) -> int:
-        """Remove rows that meet all predicates; only files that hold one are rewritten."""
-        return self._replace(list(where), None, "DELETE", user_metadata, False)
+        found = self._frame(s, only=listed, located=True).filter(condition).select(FILE).distinct().collect()
+        return [f"data/{r[FILE]}" for r in found]
+
+    def delete(self, where: Iterable[Predicate], *, user_metadata: dict | None = None, vectors: bool = False) -> int:
+        """Remove rows that meet all predicates; only files that hold one are rewritten, or with vectors get marks of those rows."""
+        if not vectors:
+            return self._replace(list(where), None, "DELETE", user_metadata, False)
+        s, where = self.log.snapshot(), list(where)
+        test = F.coalesce(as_column(where), F.lit(False))
+        hit = self._hit(s, test, where)
+        left = self._without(s, self._frame(s, only=hit, located=True).filter(test).select(FILE, ROW), hit) if hit else []
+        gone = sum(s.files[p].rows for p in hit) - sum(f.rows for f in left)
+        metrics = {"rows_added": 0, "files_added": 0, "bytes_added": 0, "rows_deleted": gone, "rows_copied": 0, "files_marked": len(left), "files_removed": len(hit) - len(left)}
+        return self._commit(s.version, "DELETE", left, hit, metrics=metrics, parameters={"where": [list(map(str, w)) for w in where], "vectors": True}, user_metadata=user_metadata)
 
     def replace_where(self, where: Iterable[Predicate], df: DataFrame, *, evolve: bool = False, user_metadata: dict | None = None) -> int:
         """Rows of df instead of those that meet all predicates, in one commit."""
@@ -242,10 +295,11 @@ class VersionedTable:
         )
         return row.first().asDict()
 
-    def merge(self, source: DataFrame, keys: list[str], changed: str, *, evolve: bool = True, user_metadata: dict | None = None) -> dict[str, int]:
+    def merge(self, source: DataFrame, keys: list[str], changed: str, *, evolve: bool = True, user_metadata: dict | None = None, vectors: bool = False) -> dict[str, int]:
         """Update rows whose `changed` column differs, insert keys that are new, leave the rest; one commit.
 
-        Only files that hold a row to update are rewritten. Two source rows with one key are an error. Columns that
+        Only files that hold a row to update are rewritten; with vectors none is: they get marks of such rows, whose new
+        values are written beside the inserted ones. Two source rows with one key are an error. Columns that
         the source lacks keep their values in updated rows and are null in inserted ones. Null keys match nothing.
         """
         s = self.log.snapshot()
@@ -255,38 +309,41 @@ class VersionedTable:
         try:
             where, kinds = self._bounds(source, [c for c in s.layout.partition if c in keys]), _kinds(s)
             listed = [p for p, f in s.files.items() if may_hold(f, where, kinds)]
-            target = self._frame(s, only=listed)
-            file = F.col("_metadata.file_path") if listed else F.lit("")
-            ours = target.select(*cols, named(changed).alias("_t"), file.alias("_file"))
+            target = self._frame(s, only=listed, located=True)
+            ours = target.select(*cols, named(changed).alias("_t"), FILE, ROW)
             # one join of keys tells what is there, where it is, whether it differs, and which keys the source repeats
             theirs = source.dropna(subset=keys).groupBy(*cols).agg(F.count("*").alias("_times"), F.first(named(changed)).alias("_s"))
-            met = theirs.join(ours, keys, "left").select(*cols, "_file", "_times", (~F.col("_s").eqNullSafe(F.col("_t"))).alias("_differs")).persist()
-            found = met.groupBy("_file").agg(F.count("*").alias("n"), F.count_if("_differs").alias("u"), F.max("_times").alias("times")).collect()
+            met = theirs.join(ours, keys, "left").select(*cols, FILE, ROW, "_times", (~F.col("_s").eqNullSafe(F.col("_t"))).alias("_differs")).persist()
+            found = met.groupBy(FILE).agg(F.count("*").alias("n"), F.count_if("_differs").alias("u"), F.max("_times").alias("times")).collect()
             if any(r["times"] > 1 for r in found):
                 raise ValueError(f"several source rows have the key {met.filter('_times > 1').select(*cols).first().asDict()}")
-            there = [r for r in found if r["_file"] is not None]
-            by_end = {p.rsplit("data/", 1)[-1]: p for p in listed}
-            touched = [by_end[r["_file"].rsplit("data/", 1)[-1]] for r in there if r["u"]]
-            new = source.join(met.filter("_file is not null").select(*cols).distinct(), keys, "left_anti")
-            out = self._spread(self._shaped(new, schema), s.layout.partition)
+            there = [r for r in found if r[FILE] is not None]
+            touched = [f"data/{r[FILE]}" for r in there if r["u"]]
+            new = source.join(met.filter(F.col(FILE).isNotNull()).select(*cols).distinct(), keys, "left_anti")
+            out, marked = self._spread(self._shaped(new, schema), s.layout.partition), []
             if touched:
                 t, u = self._shaped(self._frame(s, only=touched), schema).alias("t"), source.alias("u")
-                joined = t.join(u, [F.col(f"t.`{k}`") == F.col(f"u.`{k}`") for k in keys], "left")
+                joined = t.join(u, [F.col(f"t.`{k}`") == F.col(f"u.`{k}`") for k in keys], "inner" if vectors else "left")
                 # the same condition guards rewriting and counting, so rows that don't differ keep their lineage
                 take = F.col(f"u.`{keys[0]}`").isNotNull() & ~F.col(f"u.`{changed}`").eqNullSafe(F.col(f"t.`{changed}`"))
                 have = {c.lower(): c for c in source.columns}
-                rewritten = joined.select(*[(F.when(take, F.col(f"u.`{have[f.name.lower()]}`")).otherwise(F.col(f"t.`{f.name}`")) if f.name.lower() in have else F.col(f"t.`{f.name}`")).alias(f.name) for f in schema.fields])
+                changed_rows = joined.filter(take) if vectors else joined
+                rewritten = changed_rows.select(*[(F.when(take, F.col(f"u.`{have[f.name.lower()]}`")).otherwise(F.col(f"t.`{f.name}`")) if f.name.lower() in have else F.col(f"t.`{f.name}`")).alias(f.name) for f in schema.fields])
                 out = rewritten.unionByName(out)
+                if vectors:
+                    marked = self._without(s, met.filter(F.col(FILE).isNotNull() & F.col("_differs")).select(FILE, ROW), touched)
             added = [f for f in self._write(out) if f.rows]
         finally:
             source.unpersist()
             if met is not None:
                 met.unpersist()
         # rewriting keeps the number of rows, so what is beyond it was inserted
-        before, updated = sum(s.files[p].rows for p in touched), sum(r["u"] for r in there)
-        result = {"inserted": sum(f.rows for f in added) - before, "updated": updated, "noop": sum(r["n"] for r in there) - updated}
-        version = self._commit(s.version, "MERGE", added, touched, layout=layout, metrics=result | {"rows_copied": before - updated}, parameters={"keys": keys, "changed": changed}, user_metadata=user_metadata)
-        return result | {"copied": before - updated, "files_removed": len(touched), "files_added": len(added), "version": version}
+        updated, written = sum(r["u"] for r in there), sum(f.rows for f in added)
+        before = updated if vectors else sum(s.files[p].rows for p in touched)
+        result = {"inserted": written - before, "updated": updated, "noop": sum(r["n"] for r in there) - updated}
+        metrics = result | {"rows_copied": before - updated, "rows_added": written, "files_added": len(added), "bytes_added": sum(f.size for f in added), "files_removed": len(touched) - len(marked), "files_marked": len(marked)}
+        version = self._commit(s.version, "MERGE", [*marked, *added], touched, layout=layout, metrics=metrics, parameters={"keys": keys, "changed": changed, "vectors": vectors}, user_metadata=user_metadata)
+        return result | {"copied": before - updated, "files_removed": len(touched) - len(marked), "files_added": len(added), "version": version}
 
     def _bounds(self, source: DataFrame, partition: Iterable[str], most: int = 1000) -> list[Predicate]:
         """Values that the source has in partition columns which are keys, as a predicate on files; none if there are too many."""
@@ -310,11 +367,11 @@ class VersionedTable:
         """Make an earlier version the latest again, in one commit that writes no data; its files must still be there."""
         s, old = self.log.snapshot(), self.log.snapshot(version)
         there = {p for p, _, _ in self.folder.walk("data")}
-        lost = sorted(set(old.files) - there)
+        lost = sorted(p for p, f in old.files.items() if p not in there or (f.gone and not any(x.startswith(f"{f.gone}/") for x in there)))
         if lost:
             raise ValueError(f"version {version} can't be restored; {len(lost)} of its files were vacuumed")
-        add = [f for p, f in old.files.items() if p not in s.files]
-        return self._commit(s.version, "RESTORE", add, [p for p in s.files if p not in old.files], layout=None if old.layout == s.layout else old.layout, parameters={"version": version}, user_metadata=user_metadata)
+        add = [f for p, f in old.files.items() if s.files.get(p) != f]
+        return self._commit(s.version, "RESTORE", add, [p for p, f in s.files.items() if old.files.get(p) != f], layout=None if old.layout == s.layout else old.layout, parameters={"version": version}, user_metadata=user_metadata)
 
     # ---- layout ----
 
@@ -325,8 +382,8 @@ class VersionedTable:
         n = max(1, math.ceil(total / target_bytes))
         df = self._frame(s)
         if not by:
-            small = [p for p, f in s.files.items() if f.size < target_bytes]
-            if len(small) < 2:
+            small = [p for p, f in s.files.items() if f.size < target_bytes or f.gone]
+            if len(small) < 2 and not any(s.files[p].gone for p in small):
                 return {"files_removed": 0, "files_added": 0, "version": s.version}
             # a scan packs whole files into partitions up to a size, and a partition becomes a file: no row is shuffled
             with settings(self.spark, spark__sql__files__maxPartitionBytes=target_bytes, spark__sql__files__openCostInBytes=0, spark__sql__files__minPartitionNum=1):
@@ -348,9 +405,10 @@ class VersionedTable:
         """Delete files that the latest version doesn't use and that are older than the retention; returns their names."""
         if retain_hours < 168 and not (unsafe or dry_run):
             raise ValueError("a retention below 168 hours can break readers and time travel; pass unsafe=True")
-        used = set(self.log.snapshot().files)
+        now = self.log.snapshot().files
+        used, marks = set(now), {f.gone for f in now.values() if f.gone}
         limit = time.time() * 1000 - retain_hours * 3_600_000
-        gone = sorted(p for p, _, changed in self.folder.walk("data") if p not in used and changed <= limit)
+        gone = sorted(p for p, _, changed in self.folder.walk("data") if p not in used and os.path.dirname(p) not in marks and changed <= limit)
         if not dry_run:
             for p in gone:
                 self.folder.delete(p)
@@ -427,8 +485,8 @@ class VersionedTable:
         """
         old, new = self.log.snapshot(before), self.log.snapshot(after)
         schema = T.StructType.fromJson(json.loads(new.layout.schema))
-        gone = self._shaped(self._frame(old, only=[p for p in old.files if p not in new.files]), schema)
-        come = self._shaped(self._frame(new, only=[p for p in new.files if p not in old.files]), schema)
+        gone = self._shaped(self._frame(old, only=[p for p, f in old.files.items() if new.files.get(p) != f]), schema)
+        come = self._shaped(self._frame(new, only=[p for p, f in new.files.items() if old.files.get(p) != f]), schema)
         return come.exceptAll(gone).withColumn("change", F.lit("insert")).unionByName(gone.exceptAll(come).withColumn("change", F.lit("delete")))
 
     def diff(self, before: int, after: int, keys: list[str], compare: list[str]) -> DataFrame:
