@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import statistics
 import time
+from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.session import settings
@@ -40,6 +42,26 @@ def scan_metrics(df: DataFrame) -> dict[str, int]:
     return {"files": files, "bytes": size}
 
 
+def stage_metrics(spark: SparkSession, do: Callable[[], Any]) -> list[dict[str, Any]]:
+    """What each stage of the jobs that `do` runs took: tasks, seconds in them, rows and bytes shuffled, bytes spilled."""
+    sc, group = spark.sparkContext, f"stages-{time.monotonic_ns()}"
+    sc.setJobGroup(group, "stage metrics")
+    try:
+        do()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    tracker, store, out = sc.statusTracker(), sc._jsc.sc().statusStore(), []
+    for stage in sorted({i for job in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(job).stageIds}):
+        try:
+            s = store.lastStageAttempt(stage)
+        except Py4JJavaError:  # skipped: its output was there
+            continue
+        if s.status().toString() == "COMPLETE":
+            out.append({"stage": stage, "name": s.name(), "tasks": s.numTasks(), "task_seconds": s.executorRunTime() / 1000, "rows_read": s.inputRecords() + s.shuffleReadRecords(), "shuffled_bytes": s.shuffleWriteBytes(), "spilled_bytes": s.diskBytesSpilled()})
+    return out
+
+
 def join_kinds(df: DataFrame) -> list[str]:
     """Kinds of joins in the plan that would run."""
     text = df._jdf.queryExecution().executedPlan().toString()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.contract import LEFT_OUT, TRIPS
 from tidemill.operators import classify, fixture, marts, profile
 from tidemill.plans import lakehouse, layouts
-from tidemill.plans.catalogue import _merged, _orders, query, scratch, table
+from tidemill.plans.catalogue import _feed, _merged, _orders, query, scratch, table
 from tidemill.sources import generate, readers
 from tidemill.sources.versioned import VersionedTable
 
@@ -668,6 +668,38 @@ def table_changes(spark, d):
     return _merged(spark, d).changes(0, 1).drop("note").groupBy("change").agg(F.count("*").alias("n"))
 
 
+@query("table_vectors", f"SELECT * FROM (VALUES ('copied', 0), ('marked', (SELECT CAST({_FED} > 0 AS INTEGER))), ('rows', (SELECT count(*) FROM orders) + {_NEW}), ('rows after a delete', (SELECT count(*) FROM orders WHERE o_orderkey >= 100) + {_NEW}), ('fed', {_FED} + {_NEW}), ('rows at 0', (SELECT count(*) FROM orders)), ('marks after packing', 0)) t(fact, value)")
+def table_vectors(spark, d):
+    """A merge and a delete that copy no rows: what goes is marked, readers leave it out, packing writes files without it."""
+    orders = _orders(spark, d)
+    t = VersionedTable(spark, f"{scratch(spark, d)}/orders")
+    t.create(orders.repartition(8, "o_orderkey"))
+    done = t.merge(_feed(orders), ["o_orderkey"], "hash", vectors=True)
+    facts = {"copied": done["copied"], "marked": any(f.gone for f in t.files()), "rows": t.read().count()}
+    t.delete([("o_orderkey", "<", 100)], vectors=True)
+    facts |= {"rows after a delete": t.read().count(), "fed": t.read(1).filter("note = 'fed'").count(), "rows at 0": t.read(0).count()}
+    t.optimize(1 << 30)
+    facts["marks after packing"] = sum(f.gone_rows for f in t.files())
+    if t.read().count() != facts["rows after a delete"]:
+        raise RuntimeError("packing changed the rows")
+    return spark.createDataFrame([(k, int(v)) for k, v in facts.items()], "fact string, value long")
+
+
+@query("stage_metrics", "SELECT true AS two_stages, (SELECT count(*) FROM lineitem) AS rows_read, true AS shuffled, true AS timed")
+def stage_metrics(spark, d):
+    """Stages of one shuffle, as they ran."""
+    df = table(spark, d, "lineitem").repartition(3).groupBy("l_returnflag").count()
+    found = layouts.stage_metrics(spark, df.collect)
+    row = (len(found) >= 2, found[0]["rows_read"], found[0]["shuffled_bytes"] > 0, all(s["tasks"] > 0 and s["task_seconds"] >= 0 for s in found))
+    return spark.createDataFrame([row], "two_stages boolean, rows_read long, shuffled boolean, timed boolean")
+
+
+@query("first_clean_rows", "SELECT 50 AS n, true AS clean, true AS distinct_rows")
+def first_clean_rows(spark, d):
+    rows = readers.first_clean(spark, f"{d}/orders.parquet", "o_orderstatus = 'F' and o_totalprice > 1000", 50)
+    return rows.agg(F.count("*").cast("int").alias("n"), F.bool_and((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 1000)).alias("clean"), (F.count_distinct("o_orderkey") == F.count("*")).alias("distinct_rows"))
+
+
 @query("table_files", "SELECT 6 AS spread, 1 AS packed, true AS ordered, true AS reclustered, true AS sweep_falls")
 def table_files(spark, d):
     """Many small files, packed into one; a clustered table; fewer and fewer files as the target grows."""
