@@ -5,11 +5,12 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidemill.llm import _repeats, exact_dedup, ngram_join, phrase_dedup, suffix_dedup, url_filter
-from tidemill.llm._text import BYTE, BYTES, Rolling, sliding_min
+from tidemill.llm._text import BYTE, BYTES, Rolling, segments, sliding_min
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -160,7 +161,8 @@ def test_ngram_join(docs, rows, n, percent):
 def test_ngram_join_in_small_chunks(spark, monkeypatch):
     """Blocks cut into chunks, few partners a round, and long chains of near copies."""
     monkeypatch.setattr(ngram_join, "CHUNK", 4)
-    monkeypatch.setattr(ngram_join, "ROUNDS", (1, 2, 64))
+    monkeypatch.setattr(ngram_join, "MORE", 2)
+    monkeypatch.setattr(ngram_join, "TOGETHER", 5)
     monkeypatch.setattr(ngram_join, "FINE", 8)
     rng = random.Random(5)
     text, rows = words(rng, 40), []
@@ -174,6 +176,51 @@ def test_ngram_join_in_small_chunks(spark, monkeypatch):
     assert got == join_truth(rows, 3, 80)
 
 
+def two_words(n=1024):
+    """Texts of two letters which differ in every place, but agree in any polynomial of an odd base modulo 2^64."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_alike_to_a_weak_hash_are_different(spark):
+    a, b = two_words()
+    df = spark.createDataFrame([(1, a), (2, b), (3, f"{a} {b}"), (4, f"{b} {a}"), (5, f"{a} {b} {a} {b}"), (6, f"{a} {a}")], "doc_id long, text string")
+    for n in (1, 3):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link_documents(df, n=n, threshold_percent=90).collect()}
+        assert got == join_truth([(r["doc_id"], r["text"]) for r in df.collect()], n, 90)
+
+
+@pytest.mark.parametrize("together", [4, 2048])
+def test_blocks_of_many_nodes(spark, monkeypatch, together):
+    """Thousands of different texts with one rare shingle: a few large groups, and many texts of their own."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 64)
+    monkeypatch.setattr(ngram_join, "TOGETHER", together)
+    rng = random.Random(9)
+    key = "rare unheard phrase"
+    rows = []
+    for g, copies in enumerate((700, 150)):
+        base = words(rng, 60)
+        for _ in range(copies):
+            w = list(base)
+            w[rng.randrange(60)] = f"x{len(rows)}"
+            rows.append((len(rows), f"{key} " + " ".join(w)))
+    rows += [(len(rows) + i, f"{key} " + " ".join(words(rng, 30))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link_documents(df, n=3, threshold_percent=80).collect()}
+    assert got == join_truth(rows, 3, 80)
+
+
+def test_long_texts_have_the_same_sets(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(words(rng, 3000, 50)), "one two", "z " * 2000, "long" * 900]
+    array = pa.array([texts[0]]), pa.array([texts[1]]), pa.array([texts[2]]), pa.array([texts[3]])
+    shingler = ngram_join.Shingler(3, 90)
+    whole = [[x.tolist() for x in next(iter(shingler.sets(a)))[2:]] for a in array]
+    monkeypatch.setattr(ngram_join, "PIECE", 16)
+    monkeypatch.setattr(ngram_join, "segments", lambda data, overlap: segments(data, overlap, 64))
+    assert [[x.tolist() for x in next(iter(shingler.sets(a)))[2:]] for a in array] == whole
+
+
 def test_rtree_finds_what_a_scan_finds():
     rng = np.random.default_rng(1)
     points = rng.poisson(3, (500, ngram_join.GROUPS))
@@ -201,7 +248,15 @@ def test_components_of_a_path_and_a_star(spark):
 
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(201, 200)]
     got = {r["_node"]: r["_root"] for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long"), Steps(spark, "test")).collect()}
-    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)} | {200: 200, 201: 200}
+    assert got == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 140)} | {201: 200}
+
+
+def test_roots_of_trees(spark):
+    from tidemill.llm._state import Steps
+
+    links = [(i, i - 1) for i in range(1, 20)] + [(i, 50) for i in range(51, 60)] + [(70, 55)]
+    got = {r["_node"]: r["_root"] for r in ngram_join.tree_roots(spark.createDataFrame(links, "a long, b long"), Steps(spark, "test")).collect()}
+    assert got == {i: 0 for i in range(1, 20)} | {i: 50 for i in range(51, 60)} | {70: 50}
 
 
 # ---- substring ----
@@ -247,6 +302,39 @@ def test_repeated_bytes(docs, rows, monkeypatch, hot, load):
     assert found(suffix_dedup.remove_repeats(docs, length=24, k=8), "n_bytes") == repeats_truth(rows, str.encode, 24)
 
 
+def test_passages_alike_to_a_weak_hash_are_kept(spark):
+    a, b = two_words()
+    w = [f"w{i}" for i in range(19)]
+    rows = [(i, " ".join([*w[:10], a, *w[10:]])) for i in range(1, 19)] + [(100, " ".join([*w[:10], b, *w[10:]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(phrase_dedup.remove_repeats(df), "n_words") == repeats_truth(rows, words_of, 20)
+    rows = [(i, "x" * 60 + a + "y" * 60) for i in range(1, 19)] + [(100, "x" * 60 + b + "y" * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(suffix_dedup.remove_repeats(df), "n_bytes") == repeats_truth(rows, str.encode, 100)
+
+
+def test_long_texts_in_segments(spark):
+    """A text of several segments, which repeats itself and others across their edges."""
+    rng = random.Random(12)
+    long = words(rng, 900_000, 200_000)
+    passage = long[700_000:700_300]
+    rows = [(1, " ".join(passage)), (2, "  ".join(long[:300_000])), (3, " ".join(long)), (4, "q" * 5_000_000 + " z"), (5, "q" * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(phrase_dedup.remove_repeats(df), "n_words") == repeats_truth(rows, words_of, 20)
+    rows = [(1, "ab" * 60), (2, " ".join(long[:600_000])), (3, "x" + " ".join(long[550_000:600_000]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(suffix_dedup.remove_repeats(df), "n_bytes") == repeats_truth(rows, str.encode, 100)
+
+
+def test_a_task_remembers_what_came_often():
+    known = _repeats._Known()
+    u = lambda *x: np.array(x, np.uint64)
+    known.add(u(7), u(1), np.array([5]), np.array([3]))
+    known.add(u(7, 8), u(1, 2), np.array([4, 9]), np.array([9, 0]))
+    got = known.later(u(7, 7, 7, 8, 8, 6), u(1, 1, 1, 2, 3, 1), np.array([4, 4, 3, 10, 10, 9]), np.array([10, 9, 99, 0, 0, 0]))
+    assert got.tolist() == [True, False, False, True, False, False]
+
+
 def test_removed_spans_name_what_is_removed(docs, rows):
     truth = repeats_truth(rows, str.encode, 100)
     for r in suffix_dedup.remove_repeats(docs).collect():
@@ -298,6 +386,23 @@ def test_suffix_order():
     assert suffix_dedup.smaller_before(values).tolist() == [max((j for j in range(i) if values[j] < values[i]), default=-1) for i in range(200)]
 
 
+def test_longest_previous_factors():
+    rng = np.random.default_rng(4)
+    for n, letters in ((1, 2), (7, 1), (60, 1), (200, 2), (200, 3)):
+        data = rng.integers(97, 97 + letters, n).astype(np.uint8)
+        raw = data.tobytes()
+        for length in (1, 2, 5, 8, 13, 20, 100):
+            positions = np.arange(max(0, n - length + 1))
+            if not len(positions):
+                continue
+
+            def shared(a, b):
+                return next((k for k in range(length) if raw[a + k] != raw[b + k]), length)
+
+            want = [max((shared(i, j) for j in range(i)), default=0) for i in range(len(positions))]
+            assert suffix_dedup.previous_factors(data, positions, length).tolist() == want
+
+
 def test_rolling_hashes_depend_on_content_only():
     data = np.frombuffer(b"abcabcXabc", np.uint8)
     r = Rolling(BYTE[data], BYTES)

@@ -1,26 +1,31 @@
 """N-gram Jaccard join: groups of documents whose sets of word shingles overlap by a threshold or more.
 
-1. A text becomes its set of shingle hashes. Documents with equal sets are one node from here on.
+1. A text becomes its set of shingles, each known by two 64-bit hashes made from two independent numbers of its words.
+   Documents with equal sets are one node from here on.
 2. Nodes meet in blocks: a set's prefix (its floor((1-t)|A|)+1 first shingles, in an order that puts rare words
    first) shares a shingle with the prefix of every set that overlaps with it by t or more.
 3. Each set's shingles are hashed into groups; the group counts are a point. The sum of coordinate minima of two
    points (or of a point and the upper corner of an R-tree box) bounds the overlap from above.
-4. Pairs that the bound lets through are verified on the sets. First each node meets one
-   other, the first node of most of its blocks, which joins nearly all copies in linear work; then an R-tree over each block that still holds several
-   components finds the remaining pairs between components. That repeats until no block held a pair back.
-5. Components of verified links, by alternating large and small stars.
+4. Pairs that the bound lets through are verified on the sets, shingles being equal if both hashes are. First each
+   node meets one other, the first node of most of its blocks, which joins nearly all copies in linear work; then an
+   R-tree over each block that still holds several components finds the remaining pairs between components. That
+   goes on with ever more partners until no block held a pair back.
+5. Components of verified links: pointer jumping for the first ones, which are a forest; later ones only join whole
+   components, which alternating large and small stars do on one row for each such pair.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm._repeats import one_row_each
-from tidemill.llm._state import Steps, prepare
-from tidemill.llm._text import LOWER, PIECE, U, UNITS, Rolling, mix, pieces, ragged, tidy, word_hashes, word_spans
+from tidemill.llm._state import Steps, prepare, sent_if_few
+from tidemill.llm._text import LOWER, PIECE, U, UNITS, Rolling, mix, pieces, ragged, segments, tidy, word_hashes, word_lanes, word_spans
 
 #: Coordinates of a point in the tree. Sets of more than FINE shingles have twice as many, of more than 2 * FINE four
 #: times, and so on; those are summed for the tree, and the finer bound judges what the tree lets through.
@@ -36,11 +41,10 @@ WEIGHTS = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 CHUNK = 1024
 #: Points of a leaf of the R-tree, and children of an inner node.
 LEAF = 16
-#: Partners in other components that a node of a block hands on in each round, the closest first; the last is at least
-#: 2 * CHUNK, so no pair is held back for good.
-ROUNDS = (1, 8, 4 * CHUNK)
-#: Tasks that share the blocks of one first node.
-SPREAD = 4
+#: A node of a block hands on one partner in other components in the first round, the closest, and so many times more in each further one.
+MORE = 8
+#: Nodes of blocks with one first node that come to one task; such blocks repeat pairs, but there can be any number of them.
+TOGETHER = 2048
 #: Pairs that a task remembers to have handed on.
 TOLD = 200_000
 #: Node ids up to this many are broadcast (16 bytes each) to find the texts of candidates; beyond, they are joined by shuffling.
@@ -54,44 +58,60 @@ class Shingler:
         self.n, self.percent, self.common = n, threshold_percent, common
 
     def sets(self, array: pa.Array):
-        """For each run of texts: first row, end row, sizes of sets, and their hashes in the order that prefixes are taken in."""
+        """For each run of texts: first row, end row, sizes of sets, and both hashes of their shingles in the order that prefixes are taken in."""
         for first, end, data, offsets in pieces(array):
-            data = LOWER[data]
-            starts, ends, where = word_spans(data, offsets)
-            words = word_hashes(data, starts, ends)
-            count = np.diff(where)
-            row = np.repeat(np.arange(end - first), count)
-            # shingles begin at each word; those that would leave their text are dropped
-            h, level = np.zeros(max(0, len(words) - self.n + 1), U), None
+            if end - first == 1 and len(data) > 4 * PIECE:  # a long text: a set for each segment, and the union of those
+                cuts = [part for _, part in segments(data, self.n - 1)]
+                found = [self._distinct(*self._shingles(part, np.array([0, len(part)]), len(cuts) == 1), 1) for part in cuts]
+                row, key, h, g = self._distinct(*(np.concatenate(x) for x in zip(*found, strict=True)), 1)
+            else:
+                row, key, h, g = self._distinct(*self._shingles(data, offsets), end - first)
+            yield first, end, np.bincount(row, minlength=end - first), h, g
+
+    def _shingles(self, data: np.ndarray, offsets: np.ndarray, whole: bool = True) -> tuple[np.ndarray, ...]:
+        """(text, place in the order, first hash, second hash) of each shingle of whole texts or of a segment of one."""
+        data = LOWER[data]
+        starts, ends, where = word_spans(data, offsets)
+        words = word_lanes(data, starts, ends)
+        count = np.diff(where)
+        row = np.repeat(np.arange(len(count)), count)
+        # shingles begin at each word; those that would leave their text are dropped
+        size = max(0, len(row) - self.n + 1)
+        inside = row[:size] == row[self.n - 1 : self.n - 1 + size]
+        short = np.flatnonzero((count > 0) & (count < self.n) & whole)  # the whole sequence is one shingle
+        rows, out = np.concatenate([row[:size][inside], short]), []
+        for lane, w in enumerate(words):
+            h = np.zeros(size, U)
             for i in range(self.n):
-                h = (h + words[i : i + len(h)]) * WEIGHTS[i % 3] + U(i)
-            inside = row[: len(h)] == row[self.n - 1 : self.n - 1 + len(h)]
-            if self.common is not None:
-                rank = self.levels(words)
-                level = rank[: len(h)]
-                for i in range(1, self.n):
-                    level = np.maximum(level, rank[i : i + len(h)])
-                level = level[inside]
-            h, rows = mix(h[inside]), row[: len(h)][inside]
-            short = np.flatnonzero((count > 0) & (count < self.n))
-            if len(short):  # the whole sequence is one shingle
-                roll = Rolling(words, UNITS).ranges(where[short], where[short + 1])
-                h, rows = np.concatenate([h, mix(roll ^ U(self.n))]), np.concatenate([rows, short])
-                if level is not None:
-                    level = np.concatenate([level, np.zeros(len(short), level.dtype)])
-            # within a text, rare words first: the rarest word of a shingle decides, then the hash
-            key = h if level is None else (h >> U(5)) | ((U(31) - level.astype(U)) << U(59))
-            bits = U(max(1, (end - first - 1).bit_length()))
-            packed = (key >> bits) | (rows.astype(U) << (U(64) - bits))
-            order = np.argsort(packed)
-            packed = packed[order]
-            same = np.flatnonzero(packed[1:] == packed[:-1])
-            if (h[order[same + 1]] != h[order[same]]).any():  # the bits that were cut off decide
-                order = np.lexsort((h, key, rows))
-            rows, h = rows[order], h[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (rows[1:] != rows[:-1]) | (h[1:] != h[:-1])
-            yield first, end, np.bincount(rows[new], minlength=end - first), h[new]
+                h = (h + w[i : i + size]) * WEIGHTS[(i + lane) % 3] + U(i)
+            h = mix(h[inside])
+            if len(short):
+                h = np.concatenate([h, mix(Rolling(w, UNITS).ranges(where[short], where[short + 1]) ^ U(self.n + lane))])
+            out.append(h)
+        if self.common is None:
+            return rows, out[0], *out
+        rank = self.levels(words[0])
+        level = rank[:size]
+        for i in range(1, self.n):
+            level = np.maximum(level, rank[i : i + size])
+        level = np.concatenate([level[inside], np.zeros(len(short), level.dtype)])
+        # within a text, rare words first: the rarest word of a shingle decides, then the hash
+        return rows, (out[0] >> U(5)) | ((U(31) - level.astype(U)) << U(59)), *out
+
+    @staticmethod
+    def _distinct(rows: np.ndarray, key: np.ndarray, h: np.ndarray, g: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+        """Shingles in order, each once for a text."""
+        bits = U(max(1, (n - 1).bit_length()))
+        packed = (key >> bits) | (rows.astype(U) << (U(64) - bits))
+        order = np.argsort(packed)
+        packed = packed[order]
+        same = np.flatnonzero(packed[1:] == packed[:-1])
+        if (h[order[same + 1]] != h[order[same]]).any() or (g[order[same + 1]] != g[order[same]]).any():  # the bits that were cut off decide
+            order = np.lexsort((g, h, key, rows))
+        rows, key, h, g = rows[order], key[order], h[order], g[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (rows[1:] != rows[:-1]) | (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+        return rows[new], key[new], h[new], g[new]
 
     def levels(self, words: np.ndarray) -> np.ndarray:
         """0 to 20: how rare each word is, in halvings of the share of the most frequent one; unlisted words are rarest."""
@@ -106,7 +126,14 @@ class Shingler:
 def common_words(texts: DataFrame, steps: Steps) -> tuple[np.ndarray, np.ndarray]:
     """A table of the frequent words of all texts: hash and rarity level, placed by the first bits of the hash."""
 
-    def count(batches):
+    def parts(array):
+        for first, end, data, offsets in pieces(array):
+            if end - first > 1:
+                yield data, offsets
+            else:
+                yield from ((part, np.array([0, len(part)])) for _, part in segments(data, 0))
+
+    def tally(batches):
         total = 0
         hashes, counts = np.zeros(0, U), np.zeros(0, np.int64)
         waiting: list[np.ndarray] = []
@@ -120,7 +147,7 @@ def common_words(texts: DataFrame, steps: Steps) -> tuple[np.ndarray, np.ndarray
             return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["_word", "_n"])
 
         for b in batches:
-            for _, _, data, offsets in pieces(b.column(0)):
+            for data, offsets in parts(b.column(0)):
                 data = LOWER[data]
                 waiting.append(word_hashes(data, *word_spans(data, offsets)[:2]))
                 total += len(waiting[-1])
@@ -135,7 +162,7 @@ def common_words(texts: DataFrame, steps: Steps) -> tuple[np.ndarray, np.ndarray
         # a word seen once in a whole partition is hardly frequent; leaving it out only changes an order that may be any
         yield out(hashes[counts > 1], counts[counts > 1])
 
-    found = steps.put(texts.select("_text").mapInArrow(tidy(count), "_word long, _n long").groupBy("_word").agg(F.sum("_n").alias("_n")), "words")
+    found = steps.put(texts.select("_text").mapInArrow(tidy(tally), "_word long, _n long").groupBy("_word").agg(F.sum("_n").alias("_n")), "words")
     total = found.agg(F.sum("_n")).first()[0] or 0
     rows = sorted((r[1], r[0]) for r in found.filter(F.col("_n") * COMMON_SHARE >= total).collect())
     steps.drop(found)
@@ -182,11 +209,11 @@ def describe(texts: DataFrame, shingler: Shingler) -> DataFrame:
     def work(batches):
         s = sent.value
         for b in batches:
-            for first, end, sizes, h in s.sets(b.column(1)):
+            for first, end, sizes, h, g in s.sets(b.column(1)):
                 n = end - first
                 stop = np.cumsum(sizes)
                 begin = stop - sizes
-                sums = [np.concatenate([np.zeros(1, U), np.cumsum(x, dtype=U)]) for x in (mix(h ^ U(0x5851F42D4C957F2D)), mix(h + U(0x14057B7EF767814F)))]
+                sums = [np.concatenate([np.zeros(1, U), np.cumsum(x, dtype=U)]) for x in (mix(h ^ U(0x5851F42D4C957F2D)), mix(g + U(0x14057B7EF767814F)))]
                 names = np.stack([mix(x[stop] - x[begin] + sizes.astype(U)) for x in sums], 1).astype("<u8")
                 size = s.prefix(sizes)
                 keys = h[np.repeat(begin, size) + ragged(size)].astype("<u8").tobytes()
@@ -219,45 +246,76 @@ def _exploded(nodes: DataFrame) -> DataFrame:
     return nodes.select("_node", "_prefix").mapInArrow(tidy(work), f"_key long, _node {kind}")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets overlap enough, judged on the sets themselves.
+def verified(pairs: DataFrame, texts: DataFrame, shingler: Shingler) -> DataFrame:
+    """Those of pairs (a, b) whose sets overlap enough, judged on the sets of their texts, by both hashes of each shingle.
 
-    pairs is a written table. If it is small enough to send, the sets of a are dealt once, to their b, and of the
-    other sets only those that some pair names; else all joins shuffle.
+    pairs is a written table. If it is small enough to send, the texts of a are dealt once, to their b, and of the
+    other texts only those that some pair names; else all joins shuffle. Texts are less than half the size of their sets.
     """
     few = pairs.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    kind, percent = pairs.schema["a"].dataType.simpleString(), shingler.percent
+    maker = texts.sparkSession.sparkContext.broadcast(Shingler(shingler.n, percent))
 
     def sent(df):
         return F.broadcast(df) if few else df
 
-    left = sets.select(F.col("_node").alias("a"), F.col("_items").alias("_a")).join(sent(pairs), "a")
-    right = sets.select(F.col("_node").alias("b"), F.col("_items").alias("_b")).join(sent(pairs.select("b").distinct()), "b", "left_semi")
-    common = F.size(F.array_intersect("_a", "_b"))
-    return left.join(right, "b").filter(100 * common >= percent * (F.size("_a") + F.size("_b") - common)).select("a", "b")
+    def sets(array: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = []
+        for _, _, sizes, h, g in maker.value.sets(array):
+            cut = np.cumsum(sizes)[:-1]
+            out += zip(np.split(h, cut), np.split(g, cut), strict=True)
+        return out
 
+    def work(batches):
+        for batch in batches:
+            # many rows can have one b; its set is made once
+            _, first, which = np.unique(batch.column(1).to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+            ones, others, near = sets(batch.column(2)), sets(batch.column(3).take(pa.array(first))), []
+            for (h, g), i in zip(ones, which.tolist(), strict=True):
+                k, m = others[i]
+                at = np.minimum(np.searchsorted(k, h), max(len(k) - 1, 0))
+                common = int(((k[at] == h) & (m[at] == g)).sum()) if len(k) else 0
+                near.append(100 * common >= percent * (len(h) + len(k) - common))
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
-def components(edges: DataFrame, steps: Steps) -> DataFrame:
-    """(_node, _root) for each node that has an edge; _root is the smallest node of its component."""
+    left = texts.select(F.col("_id").alias("a"), F.col("_text").alias("_a")).join(sent(pairs), "a")
+    right = texts.select(F.col("_id").alias("b"), F.col("_text").alias("_b")).join(sent(pairs.select("b").distinct()), "b", "left_semi")
+    return left.join(right, "b").select("a", "b", "_a", "_b").mapInArrow(tidy(work), f"a {kind}, b {kind}")
 
-    def state(df):
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
-    e = steps.put(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
-    now = state(e)
+def tree_roots(links: DataFrame, steps: Steps) -> DataFrame:
+    """(_node, _root) of nodes that link to a smaller one, where no node links (a to b) to more than one: pointers jump until they all end at roots."""
+    found = steps.put(links.select(F.col("a").alias("_node"), F.col("b").alias("_root")), "roots")
     while True:
-        before = e
+        ahead = found.select(F.col("_node").alias("_root"), F.col("_root").alias("_ahead"))
+        jumped = found.join(sent_if_few(ahead), "_root", "left").select("_node", F.coalesce("_ahead", "_root").alias("_root"), F.col("_ahead").isNotNull().alias("_moved"))
+        before = found
+        found, told = steps.put_and_tell(jumped, "roots", moved=F.count_if("_moved"))
+        found = steps.same(found, found.drop("_moved"))
+        steps.drop(before)
+        if not told["moved"]:
+            return found
+
+
+def components(edges: DataFrame, steps: Steps) -> DataFrame:
+    """(_node, _root) for each node that has an edge and isn't the smallest node of its component, which is _root."""
+    told = {"n": F.count("*"), "low": F.bit_xor(F.xxhash64("u", "v")), "high": F.bit_xor(F.xxhash64(F.lit(1), "v", "u"))}
+    e, now = steps.put_and_tell(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges", **told)
+    while True:
+        before, was = e, now
         # large star: greater neighbours of u point to the smallest of u and its neighbours
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        e = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        e = steps.put(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v"), "large-stars")
+        steps.drop(before)
         # small star: u and its smaller neighbours point to the smallest of them
+        before = e
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         e = e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
-        e = steps.put(e, "stars")
+        e, now = steps.put_and_tell(e, "stars", **told)
         steps.drop(before)
-        was, now = now, state(e)
         if was == now:
-            return e.select(F.col("u").alias("_node"), F.col("v").alias("_root")).unionByName(e.select(F.col("v").alias("_node"), F.col("v").alias("_root"))).distinct()
+            return steps.same(e, e.select(F.col("u").alias("_node"), F.col("v").alias("_root")))
 
 
 class RTree:
@@ -331,9 +389,9 @@ def _across(blocks: DataFrame, percent: int, most: int) -> DataFrame:
             yield out(found)
 
     cols = ["_key", "_one", "_two", "_side", "_node", "_root", "_n", "_point"]
-    # blocks with the same first node come to a few tasks, which hand on each pair once
-    near = [F.col("_first"), F.pmod(F.col("_key"), F.lit(SPREAD)), F.col("_one"), F.col("_two")]
-    dealt = blocks.select(*cols, "_first").repartition(*near).sortWithinPartitions("_key", "_one", "_two", "_side", "_node").select(*cols)
+    # blocks with the same first node come to the same tasks as far as those can hold them, which hand on each pair once
+    near = [F.col("_first"), F.pmod(F.col("_key"), F.col("_tasks")), F.col("_one"), F.col("_two")]
+    dealt = blocks.select(*cols, "_first", "_tasks").repartition(*near).sortWithinPartitions("_key", "_one", "_two", "_side", "_node").select(*cols)
     return dealt.mapInArrow(tidy(work), f"a {kind}, b {kind}, _held long")
 
 
@@ -344,7 +402,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     them, if there are fewer). Documents link if 100 * intersection >= threshold_percent * union. Null, empty or
     blank texts have empty sets and link with nothing. Ids are integers; of rows that repeat an id only the smallest
     text counts and gets a row; rows without an id are left out. An empty table gives no rows; other columns are
-    not read.
+    not read, whatever their names. A text of any length is read whole, a long one in segments, whose sets are united.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -352,72 +410,96 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = one_row_each(docs, id_col, text_col)
     shingler = Shingler(n, threshold_percent, common_words(texts, steps))
     described = steps.put(describe(texts, shingler), "sets")
-    members = described.filter("_n > 0").groupBy("_set").agg(F.min("_id").alias("_node"))
-    members = steps.put(described.filter("_n > 0").select("_id", "_n", "_set", "_prefix", "_point").join(members, "_set").select("_id", "_node", "_n", F.when(F.col("_id") == F.col("_node"), F.col("_prefix")).alias("_prefix"), F.when(F.col("_id") == F.col("_node"), F.col("_point")).alias("_point")), "members")
-    nodes = members.filter("_prefix is not null").dropDuplicates(["_node"])
-    group = Window.partitionBy("_key").orderBy("_node")
-    blocks = _exploded(nodes).select("_key", "_node", F.first("_node").over(group.rowsBetween(Window.unboundedPreceding, 0)).alias("_first"), F.lead("_node").over(group).alias("_next"))
-    blocks = steps.put(blocks.filter("_first != _node or _next is not null").filter("_first != _node or _next != _node").select("_key", "_node", "_first"), "blocks")
-    points = nodes.select("_node", "_n", "_point")
-    _, roots = _resolve(steps, texts, blocks, points, shingler)
-    result = (
-        described.select("_id", "_n")
-        .join(members.select("_id", "_node").distinct(), "_id", "left")
-        .join(roots, "_node", "left")
-        .select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("_root", "_node", "_id").alias("component_id"))
-    )
+    groups = described.filter("_n > 0").groupBy("_set").agg(F.min("_id").alias("_node"))
+    first = F.col("_id") == F.col("_node")
+    members = described.filter("_n > 0").select("_id", "_n", "_set", "_prefix", "_point").join(groups, "_set")
+    members = steps.put(members.select("_id", "_node", "_n", F.when(first, F.col("_prefix")).alias("_prefix"), F.when(first, F.col("_point")).alias("_point")), "members")
+    # from here on, of most documents only ids matter; what is wide goes as soon as it was used
+    ids = members.select("_id", "_node", "_n").unionByName(described.filter("_n = 0").select("_id", F.col("_id").alias("_node"), "_n"))
+    ids = steps.put(ids, "ids")
+    steps.drop(described)
+    nodes = members.filter("_prefix is not null")
+    prefixes = steps.put(_exploded(nodes), "prefixes")
+    # blocks of several nodes; of blocks with the same nodes one, with their number
+    marks = [F.bit_xor(F.xxhash64(F.lit(i), "_node")).alias(f"_x{i}") for i in range(2)]
+    shared = prefixes.groupBy("_key").agg(F.min("_node").alias("_first"), F.max("_node").alias("_last"), F.count("*").alias("_size"), *marks).filter("_first != _last")
+    shared = shared.groupBy("_first", "_last", "_size", "_x0", "_x1").agg(F.min("_key").alias("_key"), F.count("*").alias("_times"))
+    blocks = steps.put(prefixes.join(shared.select("_key", "_first", "_times"), "_key"), "blocks")
+    near = steps.put(nodes.select("_node", "_n", "_point").join(blocks.select("_node").distinct(), "_node", "left_semi"), "points")
+    steps.drop(prefixes, members)
+    roots = _resolve(steps, texts, blocks, near, shingler)
+    result = ids.join(roots, "_node", "left").select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("_root", "_node").alias("component_id"))
     return steps.finish(result, "result")
 
 
-def _resolve(steps: Steps, texts: DataFrame, blocks: DataFrame, points: DataFrame, shingler: Shingler) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) that connect just what all links connect, and their components."""
+def _resolve(steps: Steps, texts: DataFrame, blocks: DataFrame, near: DataFrame, shingler: Shingler) -> DataFrame:
+    """(_node, _root) of the nodes that links connect with a smaller one; _root is the smallest that they reach."""
     percent = shingler.percent
-    # blocks of the same nodes are one block with their number
-    named = blocks.groupBy("_key").agg(F.count("*").alias("_size"), F.sum(F.xxhash64("_node").cast("decimal(20,0)")).alias("_sum"))
-    named = named.groupBy("_size", "_sum").agg(F.min("_key").alias("_key"), F.count("*").alias("_times"))
-    blocks = steps.put(blocks.join(named.select("_key", "_times"), "_key"), "distinct-blocks")
-    near = steps.put(points.join(blocks.select("_node").distinct(), "_node", "left_semi"), "points")
     # each node meets the first node that it shares most blocks with
     shared = blocks.filter("_first != _node").groupBy("_node", "_first").agg(F.sum("_times").alias("_c"))
     stars = shared.groupBy("_node").agg(F.max_by("_first", F.struct("_c", -F.col("_first"))).alias("b")).withColumnRenamed("_node", "a")
     stars = stars.join(near.select(F.col("_node").alias("a"), F.col("_n").alias("_na"), F.col("_point").alias("_pa")), "a")
     stars = stars.join(near.select(F.col("_node").alias("b"), F.col("_n").alias("_nb"), F.col("_point").alias("_pb")), "b")
     tried = steps.put(_bounded(stars, percent), "stars")
-    links = _checked(steps, texts, tried, shingler)
-    roots = components(links, steps)
-    for most in ROUNDS:
-        labelled = blocks.select("_key", "_node", "_first").join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
-        several = labelled.groupBy("_key").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.count("*").alias("_size")).filter("_lo != _hi").select("_key", "_size")
-        left = labelled.join(several, "_key").join(near, "_node")
-        # blocks of more than CHUNK nodes are cut by a hash; each two of their chunks make a block of their own
-        chunks = F.floor((F.col("_size") - 1) / CHUNK).cast("int") + 1
-        left = left.withColumn("_chunk", F.pmod(F.xxhash64("_node"), chunks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        left = left.withColumns({"_one": F.greatest("_chunk", "_other"), "_two": F.least("_chunk", "_other")}).withColumn("_side", (F.col("_chunk") != F.col("_one")).cast("int"))
-        found = steps.put(_across(left, percent, most), "across")
-        fresh = found.filter("_held is null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-        fresh = steps.put(fresh, "pairs")
-        if fresh.limit(1).count():
-            more = _checked(steps, texts, fresh, shingler)
+    roots = tree_roots(_checked(steps, texts, tried, shingler), steps)
+    for most in (MORE**i for i in count()):
+        found = steps.put(_across(_dealt(blocks, roots, near), percent, most), "across")
+        fresh = steps.put(found.filter("_held is null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not fresh.isEmpty():
             tried = tried.unionByName(fresh)
-            if more.limit(1).count():
-                links = links.unionByName(more)
-                roots = components(links, steps)
-        # only blocks that held pairs back are looked at again
+            roots = _joined(roots, _checked(steps, texts, fresh, shingler), steps)
+        # only blocks that held pairs back are looked at again, with more partners for each node
         held = found.filter("_held is not null").select(F.col("_held").alias("_key")).distinct()
-        if not held.limit(1).count():
-            break
+        if held.isEmpty():
+            return roots
         seen = blocks
         blocks = steps.put(seen.join(held, "_key", "left_semi"), "held-blocks")
         steps.drop(seen, found)
-    return links, roots
+
+
+def _joined(roots: DataFrame, links: DataFrame, steps: Steps) -> DataFrame:
+    """The roots after links (a, b) between components."""
+
+    def ends(side: str) -> DataFrame:
+        return roots.select(F.col("_node").alias(side), F.col("_root").alias(f"_{side}"))
+
+    rooted = links.join(ends("a"), "a", "left").join(ends("b"), "b", "left")
+    joined = components(rooted.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")), steps)
+    moved = roots.join(joined.select(F.col("_node").alias("_root"), F.col("_root").alias("_to")), "_root", "left").select("_node", F.coalesce("_to", "_root").alias("_root"))
+    found = steps.put(moved.unionByName(joined), "roots")
+    steps.drop(roots, joined)
+    return found
+
+
+def _dealt(blocks: DataFrame, roots: DataFrame, near: DataFrame) -> DataFrame:
+    """Nodes of the blocks that still hold several components, once for each part of a block in which they meet others.
+
+    A block of more than CHUNK nodes is cut into chunks by a hash, those of its largest component and those of all
+    others. Each two chunks make a part, but none of the largest component alone: where most nodes are linked
+    already, the work is linear in the block.
+    """
+    labelled = blocks.select("_key", "_node", "_first").join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
+    sizes = labelled.groupBy("_key", "_first", "_root").agg(F.count("*").alias("_c"))
+    several = sizes.groupBy("_key", "_first").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.sum("_c").alias("_size"), F.max("_c").alias("_most"), F.max_by("_root", F.struct("_c", "_root")).alias("_main"))
+    several = several.filter("_lo != _hi").select("_key", "_first", "_size", "_most", "_main")
+    tasks = several.groupBy("_first").agg((F.floor(F.sum("_size") / TOGETHER) + 1).alias("_tasks"))
+    left = labelled.select("_key", "_node", "_root").join(several.join(tasks, "_first"), "_key").join(near, "_node")
+
+    def chunks(n):
+        return F.ceil(n / CHUNK).cast("int")
+
+    cut, main = F.col("_size") > CHUNK, F.col("_root") == F.col("_main")
+    whole, rest = chunks(F.col("_most")), chunks(F.col("_size") - F.col("_most"))
+    at = F.xxhash64("_node")
+    left = left.withColumn("_chunk", F.when(~cut, 0).when(main, F.pmod(at, whole)).otherwise(whole + F.pmod(at, rest)).cast("int"))
+    others = F.when(~cut, F.array(F.lit(0))).when(main, F.sequence(whole, whole + rest - 1)).otherwise(F.sequence(F.lit(0), whole + rest - 1))
+    left = left.withColumn("_other", F.explode(others))
+    return left.withColumns({"_one": F.greatest("_chunk", "_other"), "_two": F.least("_chunk", "_other")}).withColumn("_side", (F.col("_chunk") != F.col("_one")).cast("int"))
 
 
 def _checked(steps: Steps, texts: DataFrame, pairs: DataFrame, shingler: Shingler) -> DataFrame:
     """The verified ones of written pairs, written."""
-    sets = _sets_of(steps, texts, pairs, shingler)
-    links = steps.put(verified(pairs, sets, shingler.percent), "links")
-    steps.drop(sets)
-    return links
+    return steps.put(verified(pairs, texts, shingler), "links")
 
 
 def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
@@ -432,18 +514,3 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
 
     return pairs.select("a", "b", "_na", "_nb", "_pa", "_pb").mapInArrow(tidy(work), f"a {kind}, b {kind}")
 
-
-def _sets_of(steps: Steps, texts: DataFrame, pairs: DataFrame, shingler: Shingler) -> DataFrame:
-    """(_node, _items: array<long>) of the nodes in pairs, made from their texts and written."""
-    kind = texts.schema["_id"].dataType.simpleString()
-    sent = texts.sparkSession.sparkContext.broadcast(Shingler(shingler.n, shingler.percent))
-
-    def work(batches):
-        for b in batches:
-            for first, end, sizes, h in sent.value.sets(b.column(1)):
-                items = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), items], ["_node", "_items"])
-
-    ids = steps.put(pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct(), "named")
-    few = ids.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-    return steps.put(texts.join(F.broadcast(ids) if few else ids, "_id", "left_semi").mapInArrow(tidy(work), f"_node {kind}, _items array<long>"), "sets")
