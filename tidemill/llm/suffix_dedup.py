@@ -1,9 +1,10 @@
-"""Substring dedup by bytes: earlier matches from previous and next smaller positions in suffix order.
+"""Substring dedup by bytes: longest previous factors, from previous and next smaller positions in suffix order.
 
 Anchors (see _repeats) bring together the contexts that may share a window of `length` bytes. Over the contexts of
-a shard, laid out by document and start, suffixes are sorted by their first `length` bytes (prefix doubling). A
-position's longest previous factor comes from its neighbours of smaller position in that order: if the previous or
-the next smaller one agrees over `length` bytes, the string at the position also starts earlier.
+a shard, laid out by document and start, suffixes are sorted by their first `length` bytes (prefix doubling). The
+longest previous factor of a position is the longer of the prefixes that it shares with the previous and with the next
+smaller position in that order, as any earlier one lies beyond those. It is known up to `length` bytes; where it
+reaches that, the string at the position also starts earlier, and later copies go.
 """
 
 from __future__ import annotations
@@ -25,24 +26,45 @@ def _ranked(key: np.ndarray) -> np.ndarray:
     return rank
 
 
-def prefix_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """For each position, the rank of the `length` bytes that follow it (zero bytes after the end)."""
-    width = 1
-    while width * 2 <= min(length, 8):
-        width *= 2
-    padded = np.concatenate([data, np.zeros(length, np.uint8)]).astype(np.uint64)
+def prefix_levels(data: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """The first eight bytes at each position as a number, and for growing widths up to `length` the rank of so many bytes (zero bytes after the end)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
     n = len(data)
     key = np.zeros(n, np.uint64)
-    for i in range(width):
+    for i in range(8):
         key = (key << np.uint64(8)) | padded[i : i + n]
-    rank = _ranked(key)
+    width = 1
+    while width * 2 <= min(length, 8):
+        width *= 2
+    rank = _ranked(key >> np.uint64(64 - 8 * width) if width < 8 else key)
+    levels = [(width, rank)]
     while width < length:
         step = min(width, length - width)
         ahead = np.zeros(n, np.int64)
         ahead[: n - step] = rank[step:] + 1
         rank = _ranked(rank * (n + 1) + ahead)
         width += step
-    return rank
+        levels.append((width, rank))
+    return key, levels
+
+
+def prefix_ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """For each position, the rank of the `length` bytes that follow it (zero bytes after the end)."""
+    return prefix_levels(data, length)[1][-1][1]
+
+
+def shared_prefix(key: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bytes agree from positions a and b on, up to the widest level: by ever narrower levels, then by single bytes."""
+    n, most = len(key), levels[-1][0]
+    out = np.zeros(len(a), np.int64)
+    for width, rank in reversed(levels):
+        x, y = a + out, b + out
+        fits = (x < n) & (y < n) & (out + width <= most)
+        out += width * (fits & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)]))
+    x, y = a + out, b + out
+    differ = key[np.minimum(x, n - 1)] ^ key[np.minimum(y, n - 1)]
+    same = sum((differ < np.uint64(1 << 8 * i)).astype(np.int64) for i in range(8))
+    return np.minimum(out + np.where((x < n) & (y < n), same, 0), most)
 
 
 def smaller_before(values: np.ndarray) -> np.ndarray:
@@ -56,17 +78,20 @@ def smaller_before(values: np.ndarray) -> np.ndarray:
     return found
 
 
-def earlier_matches(ranks: np.ndarray, positions: np.ndarray) -> np.ndarray:
-    """Whether the string at each position equals one at a smaller position, by previous and next smaller positions."""
-    order = np.lexsort((positions, ranks))
-    at, rank = positions[order], ranks[order]
-    psv = smaller_before(at)
-    nsv = len(at) - 1 - smaller_before(at[::-1])[::-1]
-    match = (psv >= 0) & (rank[psv] == rank)
-    inside = nsv < len(at)
-    match |= inside & (rank[np.where(inside, nsv, 0)] == rank)
-    out = np.zeros(len(at), bool)
-    out[order] = match
+def previous_factors(data: np.ndarray, positions: np.ndarray, length: int) -> np.ndarray:
+    """For each of the positions, the length (up to `length`) of the longest prefix that also starts at a smaller one of them."""
+    key, levels = prefix_levels(data, length)
+    rank = levels[-1][1][positions]
+    order = np.lexsort((positions, rank))
+    at = positions[order]
+    before = smaller_before(at)
+    after = len(at) - 1 - smaller_before(at[::-1])[::-1]
+    found = np.zeros(len(at), np.int64)
+    for near, there in ((before, before >= 0), (after, after < len(at))):
+        i = np.flatnonzero(there)
+        found[i] = np.maximum(found[i], shared_prefix(key, levels, at[i], at[near[i]]))
+    out = np.zeros(len(at), np.int64)
+    out[order] = found
     return out
 
 
@@ -79,8 +104,7 @@ class PreviousFactors:
     def __call__(self, contexts: list[bytes], n: np.ndarray) -> np.ndarray:
         size = n + self.length - 1
         positions = np.repeat(np.cumsum(size) - size, n) + ragged(n)
-        ranks = prefix_ranks(np.frombuffer(b"".join(contexts), np.uint8), self.length)
-        return earlier_matches(ranks[positions], positions)
+        return previous_factors(np.frombuffer(b"".join(contexts), np.uint8), positions, self.length) >= self.length
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 100, k: int = 48) -> DataFrame:
