@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm._state import Steps, prepare
+from tidemill.llm._state import Steps, numbered, prepare, sent_if_few
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -55,18 +55,25 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce("_size", F.count("*").over(group)).alias("_n"),
         (F.row_number().over(group.orderBy(F.col("_id").desc_nulls_last())) == 1).alias("_kept"),
     )
-    return lost.unionByName(rest).select(
+    result = lost.unionByName(rest).select(
         F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"), F.col("_n").alias("group_size"), F.col("_kept").alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256")
     )
+    return steps.finish(result, "result")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_heavy: int = 1024, counters: int = 65536, least: int = 64) -> DataFrame:
-    """The rows of docs that mark_copies keeps, with all columns as they are."""
+    """The rows of docs that mark_copies keeps, with all columns as they are, whatever their names; no rows give no rows.
+
+    Rows are numbered and written once; only numbers, ids and digests are shuffled, and the numbers of copies drop rows.
+    """
     spark = docs.sparkSession
     prepare(spark)
     steps = Steps(spark, "exact-dedup")
-    heavy = steps.put(heavy_winners(docs.select(F.col(id_col).alias("_id"), digest(text_col).alias("_digest")), "_id", max_heavy, counters, least), "winners")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), digest(text_col).alias("_digest"))
-    rows = rows.join(F.broadcast(heavy), "_digest", "left").filter(F.col("_size").isNull() | F.col("_id").eqNullSafe(F.col("_keep")))
-    first = Window.partitionBy("_digest").orderBy(F.col("_id").desc_nulls_last())
-    return rows.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").select("_row.*")
+    rows = numbered(steps, docs)
+    slim = steps.put(rows.select("_n", F.col(f"_row.`{id_col}`").alias("_id"), digest(f"_row.`{text_col}`").alias("_digest")), "digests")
+    heavy = steps.put(heavy_winners(slim, "_id", max_heavy, counters, least), "winners")
+    joined = slim.join(F.broadcast(heavy), "_digest", "left")
+    loser = F.col("_size").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_keep"))
+    rest = joined.filter(~loser).withColumn("_rank", F.row_number().over(Window.partitionBy("_digest").orderBy(F.col("_id").desc_nulls_last(), "_n")))
+    dropped = steps.put(joined.filter(loser).select("_n").unionByName(rest.filter("_rank > 1").select("_n")), "dropped")
+    return rows.join(sent_if_few(dropped), "_n", "left_anti").select("_row.*")
