@@ -23,6 +23,8 @@ from tidemill.llm._text import tidy
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose ids a worker remembers; beyond, it starts anew. Longer pieces aren't remembered.
 REMEMBERED, LONGEST = 400_000, 48
+#: Characters beyond which a text isn't split into a list of pieces, but piece by piece; tokens that are decoded at once.
+LONG = 1 << 20
 #: Bytes of text after which a worker hands on a batch.
 BATCH = 4 << 20
 
@@ -114,24 +116,36 @@ class Bpe:
         """Packed ids of a whole text; the strings of special tokens in it become those tokens."""
         if self.known is None:
             self.known = _Remembered(self.merge)
-            self.split = regex.compile(PATTERN).findall
+            pattern = regex.compile(PATTERN)
+            self.split = lambda text: pattern.findall(text) if len(text) <= LONG else (m.group() for m in pattern.finditer(text))
             self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
-        get = self.known.__getitem__
         if self.cut and any(s in text for s in self.special):
             parts = self.cut(text)
-            return b"".join(np.array([self.special[p]], "<u4").tobytes() if i % 2 else b"".join(map(get, self.split(p))) for i, p in enumerate(parts))
-        return b"".join(map(get, self.split(text)))
+            return b"".join(np.array([self.special[p]], "<u4").tobytes() if i % 2 else self._plain(p) for i, p in enumerate(parts))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
+        get = self.known.__getitem__
+        if len(text) <= LONG:
+            return b"".join(map(get, self.split(text)))
+        packed = bytearray()
+        for piece in self.split(text):
+            packed += get(piece)
+        return bytes(packed)
 
     def decode(self, packed: bytes) -> str:
         """The text of packed ids, special tokens included."""
-        return b"".join(map(self.strings.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
+        ids, get = np.frombuffer(packed, "<u4"), self.strings.__getitem__
+        return b"".join([b"".join(map(get, ids[a : a + LONG].tolist())) for a in range(0, len(ids), LONG)]).decode("utf-8", "replace")
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, ids (binary: little-endian 32-bit integers), n_tokens, decoded.
 
     ids are those of the whole text; decoded is made from ids alone. A null text counts as empty: no ids, empty
-    decoded. Repeated rows get a row each; other columns are not read.
+    decoded. Repeated rows and rows without an id get a row each, an empty table gives none; other columns are not
+    read, whatever their names. A long text is merged piece by piece; memory grows with its longest piece (a run of
+    letters, say), which is merged whole.
     """
     spark = docs.sparkSession
     prepare(spark)

@@ -139,8 +139,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     it has no influence on that.
 
     A null text has size 0, a null source is a source of its own (the last). Documents without words are taken 0
-    words. Rows that repeat an id are decided one by one. No rows give no rows. Reruns on the same rows agree:
-    blocks and directions depend on ids and sizes only.
+    words. Rows that repeat an id, or have none, are decided one by one. No rows give no rows; other columns are not
+    read, whatever their names; words of texts of any length are counted whole. Reruns on the same rows agree: blocks
+    and directions depend on ids and sizes only.
     """
     spark = docs.sparkSession
     prepare(spark)

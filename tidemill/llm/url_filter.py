@@ -17,6 +17,8 @@ from tidemill.llm.exact_dedup import LOWER, UPPER
 SHORT = 8
 #: Rules up to this many are broadcast; beyond, both sides are shuffled on the short prefix.
 BROADCAST_RULES = 100_000
+#: Parts into which pages without a host are dealt.
+SALTS = 4096
 
 
 def host_and_path(url: F.Column) -> tuple[F.Column, F.Column]:
@@ -33,7 +35,10 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     rules has (host, path, verdict), its path beginning with `/` or empty. A rule fits its host and all
     subdomains if the url's path starts with the rule's path; of fitting rules the longest (host and path
     together, then the longer host, then `block` before `allow`) wins; without one the verdict is `default`.
-    Repeated rows get a row each, null urls an empty host and path; an empty table gives no rows.
+    Repeated rows and rows without an id get a row each, null urls an empty host and path; an empty table gives no
+    rows; other columns are not read, whatever their names. Urls of any length are read whole.
+
+    Pages without a host, which no rule fits, are spread over salts when they meet the rules that were found.
     """
     spark = pages.sparkSession
     prepare(spark)
@@ -69,6 +74,8 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
             .groupBy("_host", "_path")
             .agg(F.max(F.struct(F.length("_rule").alias("_size"), F.length("_rhost").alias("_hlen"), (F.col("_verdict") == "block").alias("_block"), "_rule", "_verdict")).alias("_best"))
         )
-    return parsed.join(best, ["_host", "_path"], "left").select(
+    salt = F.when(F.col("_host") == "", F.pmod(F.xxhash64("_id", F.monotonically_increasing_id()), F.lit(SALTS))).otherwise(F.lit(-1))
+    parsed, best = parsed.withColumn("_salt", salt), best.withColumn("_salt", F.lit(-1).cast("long"))
+    return parsed.join(best, ["_host", "_path", "_salt"], "left").select(
         F.col("_id").alias(id_col), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_best._rule").alias("rule"), F.coalesce("_best._verdict", F.lit(default)).alias("verdict")
     )
