@@ -43,29 +43,33 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, row_col:
     )
 
 
-def targets(totals: DataFrame, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
-    """Adds _target to (_source, _total, ...): weights repeat over sources by code point, null last.
+def targets(totals: DataFrame, steps: Steps, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
+    """Adds _target to (_source, _total, ...), one row a source: weights repeat over sources by code point, null last.
 
-    All sizes are shared by weight; a source stops at MOST times its size and the excess is reshared. The level at
-    which that ends is found in one pass over sources by their cap per unit of weight. One row a source only.
+    All sizes are shared by weight; a source stops at MOST times its size and the excess is reshared until none is
+    above. Sources are numbered range by range, and the level at which sharing ends rises from one aggregate to the
+    next, so that any number of sources needs no task for all of them.
     """
-    every = Window.partitionBy()
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(every.orderBy(F.col("_source").asc_nulls_last())) - 1, len(weights)) + 1).cast("int"))
-    ordered = every.orderBy("_ratio", F.col("_source").asc_nulls_last())
-    return (
-        totals.withColumn("_weight", weight)
-        .withColumn("_cap", MOST * F.col("_total").cast("double"))
-        .withColumn("_ratio", F.col("_cap") / F.col("_weight"))
-        .withColumn("_sum", F.sum("_total").over(every).cast("double"))
-        .withColumn("_capped", F.coalesce(F.sum("_cap").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("_open", F.sum("_weight").over(ordered.rowsBetween(0, Window.unboundedFollowing)))
-        # the level if this source and all after it stay below their caps
-        .withColumn("_level", (F.col("_sum") - F.col("_capped")) / F.col("_open"))
-        .withColumn("_place", F.row_number().over(ordered))
-        .withColumn("_level", F.min_by("_level", F.when(F.col("_level") <= F.col("_ratio"), F.col("_place"))).over(every))
-        .withColumn("_target", F.least("_cap", F.coalesce(F.col("_level") * F.col("_weight"), F.col("_cap"))))
-        .drop("_weight", "_cap", "_ratio", "_sum", "_capped", "_open", "_place", "_level")
-    )
+    by_name = F.col("_source").asc_nulls_last()
+    ranged = steps.put(totals.repartitionByRange(by_name).withColumn("_range", F.spark_partition_id()), "ranges")
+    begins, before = [], 0
+    for r in sorted(ranged.groupBy("_range").count().collect()):  # a row for each range, as many as there are tasks
+        begins.append((r["_range"], before))
+        before += r["count"]
+    at = totals.sparkSession.createDataFrame(begins, "_range int, _before long")
+    number = F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(by_name)) - 1
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(number, F.lit(len(weights))) + 1).cast("int"))
+    weighted = steps.put(ranged.join(F.broadcast(at), "_range").withColumn("_weight", weight).drop("_range", "_before"), "weights")
+    cap = MOST * F.col("_total").cast("double")
+    every = weighted.agg(F.coalesce(F.sum("_total"), F.lit(0)).alias("total"), F.coalesce(F.sum("_weight"), F.lit(0.0)).alias("weight")).first()
+    capped, level = {"total": 0, "weight": 0.0, "n": 0}, 0.0
+    while every["weight"] > capped["weight"]:
+        level = (every["total"] - MOST * capped["total"]) / (every["weight"] - capped["weight"])
+        full = weighted.filter(cap <= F.col("_weight") * level).agg(F.coalesce(F.sum("_total"), F.lit(0)).alias("total"), F.coalesce(F.sum("_weight"), F.lit(0.0)).alias("weight"), F.count("*").alias("n")).first().asDict()
+        if full["n"] == capped["n"]:
+            break
+        capped = full
+    return weighted.withColumn("_target", F.least(cap, F.col("_weight") * level)).drop("_weight")
 
 
 def _uniform(keys: np.ndarray, level: int, seed: int) -> np.ndarray:
@@ -148,7 +152,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     steps = Steps(spark, "mixing")
     sizes = steps.put(sized(docs, id_col, text_col, source_col, row_col), "sizes")
     totals = sizes.groupBy("_source").agg(F.sum("_size").alias("_total"), F.count("*").alias("_docs"))
-    totals = steps.put(targets(totals, weights), "targets")
+    totals = steps.put(targets(totals, steps, weights), "targets")
     rows = sizes.join(totals, sizes["_source"].eqNullSafe(totals["_source"]), "inner").drop(totals["_source"])
     rate = F.when(F.col("_total") > 0, F.col("_target") / F.col("_total")).otherwise(F.lit(0.0))
     rows = (
