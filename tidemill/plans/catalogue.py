@@ -6,6 +6,8 @@ Money is summed as decimals, so that sums don't depend on the order of rows.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -456,7 +458,9 @@ def scratch(spark: SparkSession, sf_dir: str) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = f"file://{tempfile.gettempdir()}"
+        folder = tempfile.mkdtemp(prefix="tidemill-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = f"file://{folder}"
     return f"{root.rstrip('/')}/tidemill-{uuid.uuid4().hex}"
 
 
