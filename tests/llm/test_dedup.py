@@ -326,6 +326,17 @@ def test_long_texts_in_segments(spark):
     assert found(suffix_dedup.remove_repeats(df), "n_bytes") == repeats_truth(rows, str.encode, 100)
 
 
+@pytest.mark.parametrize("often", [0, 1, 5])
+def test_rows_of_hot_anchors_are_split(docs, rows, monkeypatch, often):
+    """Tasks that know an anchor as hot and tasks that don't find the same; with 0 all rows are dealt by context."""
+    monkeypatch.setattr(_repeats, "OFTEN", often)
+    monkeypatch.setattr(_repeats, "CELLS", 1 << 10)
+    assert found(phrase_dedup.remove_repeats(docs), "n_words") == repeats_truth(rows, words_of, 20)
+    assert found(suffix_dedup.remove_repeats(docs), "n_bytes") == repeats_truth(rows, str.encode, 100)
+    monkeypatch.setattr(phrase_dedup, "COMPARED", 2)
+    assert found(phrase_dedup.remove_repeats(docs, length=6, k=3), "n_words") == repeats_truth(rows, words_of, 6)
+
+
 def test_a_task_remembers_what_came_often():
     known = _repeats._Known()
     u = lambda *x: np.array(x, np.uint64)

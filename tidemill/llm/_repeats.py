@@ -6,6 +6,7 @@ text they cover they are a *context*. Only contexts that share an anchor can sha
 
 1. Each context becomes a slim row (anchor hash, BLAKE2b digest of its text, document, start, windows). Contexts equal
    to earlier ones that the same task has seen leave at once as removed; the others are dealt and sorted by anchor.
+   Rows of anchors that come often in a task are dealt by anchor and context, so a hot anchor is split.
 2. A pass over the sorted rows drops anchors that don't recur, marks contexts that equal earlier ones, and names
    the contexts that must be compared. One row at most is held back, however large an anchor's group is.
 3. The text of contexts to compare is cut out and dealt by anchor (windows of very frequent anchors one by one, by
@@ -37,6 +38,8 @@ BROADCAST_ANCHORS = 500_000
 LOAD = 1 << 19
 #: Contexts that came often which a task remembers.
 KNOWN = 1 << 18
+#: Rows of one anchor (by the low bits of its hash) after which a task deals further ones by their context, too.
+OFTEN, CELLS = 256, 1 << 20
 #: White space of any kind becomes a space.
 BLANK = bytes(0x20 if b in (0x20, *range(0x09, 0x0E)) else b for b in range(256))
 
@@ -126,6 +129,8 @@ def _merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 MARK = "_id long, _start long, _n long, _anchor long, _kind int"
 REMOVE, COMPARE = 0, 1
+#: Kinds of slim rows: an ordinary one, one that earlier ones equal, one whose anchor is known to recur, a note of that.
+PLAIN, DUPLICATE, SURE, NOTE = 0, 1, 2, 3
 
 
 class _Known:
@@ -156,10 +161,15 @@ class _Known:
 
 
 def _slim(texts: DataFrame, plan: Plan) -> DataFrame:
-    """(_anchor, _ctx, _id, _start, _n, _dup) of all contexts; _dup: enough earlier ones equal it (then _anchor is any)."""
+    """(_anchor, _ctx, _id, _start, _n, _kind) of all contexts.
+
+    DUPLICATE: enough earlier ones equal it (then _anchor is any). SURE: its anchor came often in this task, so it
+    recurs for sure, and only contexts that equal this one need to meet it; those that came before, and other tasks'
+    rows, may still be dealt by the anchor alone, so a NOTE tells them that the anchor recurs.
+    """
 
     def work(batches):
-        known = _Known()
+        known, cells, noted = _Known(), np.zeros(CELLS, np.int64), set()
         for b in batches:
             ids_all = b.column(0).to_numpy(zero_copy_only=False)
             for first, end, data, offsets in pieces(b.column(1), 8 * PIECE):
@@ -170,9 +180,9 @@ def _slim(texts: DataFrame, plan: Plan) -> DataFrame:
                         continue
                     ctx = digests(plain, begin[at], stop[at + n - 2 + plan.length])
                     del values, plain, begin, stop
-                    yield from told(known, ids_all[first:end][text], start + base, n, anchor, ctx)
+                    yield from told(known, cells, noted, ids_all[first:end][text], start + base, n, anchor, ctx)
 
-    def told(known, ids, start, n, anchor, ctx):
+    def told(known, cells, noted, ids, start, n, anchor, ctx):
         late = known.later(anchor, ctx, ids, start)
         order = np.flatnonzero(~late)
         order = order[np.lexsort((start[order], ids[order], ctx[order], anchor[order]))]
@@ -185,7 +195,18 @@ def _slim(texts: DataFrame, plan: Plan) -> DataFrame:
             often = order[at[size >= max(plan.compared, 2)]]
             if len(often):
                 known.add(anchor[often], ctx[often], ids[often], start[often])
-        yield pa.RecordBatch.from_arrays([pa.array(x[~late].view(np.int64) if x.dtype == U else x[~late]) for x in (anchor, ctx, ids, start, n)] + [pa.array(np.zeros(int((~late).sum()), bool))], names)
+        rows = [x[~late] for x in (anchor, ctx, ids, start, n)]
+        cell = (rows[0] & U(CELLS - 1)).astype(np.int64)
+        sure = cells[cell] >= OFTEN
+        cells += np.bincount(cell, minlength=CELLS)
+        yield batch(*rows, np.where(sure, SURE, PLAIN))
+        fresh = [x for x in np.unique(rows[0][sure]).tolist() if x not in noted]
+        if fresh:
+            if len(noted) > KNOWN:
+                noted.clear()
+            noted.update(fresh)
+            at, none = np.array(fresh, U), np.zeros(len(fresh), np.int64)
+            yield batch(at, mix(at + U(1)), none, none, none, np.full(len(fresh), NOTE))
         if late.any():
             order = np.flatnonzero(late)
             order = order[np.lexsort((start[order], ids[order]))]
@@ -193,11 +214,14 @@ def _slim(texts: DataFrame, plan: Plan) -> DataFrame:
             at = _merged(i, s, e)
             e = np.maximum.reduceat(e, at)
             i, s = i[at], s[at]
-            spread = mix(i.astype(np.int64).view(U) ^ (s.astype(np.int64).view(U) << U(32))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (spread, spread, i, s, e - s, np.ones(len(i), bool))], names)
+            spread = mix(i.astype(np.int64).view(U) ^ (s.astype(np.int64).view(U) << U(32)))
+            yield batch(spread, spread, i, s, e - s, np.full(len(i), DUPLICATE))
+
+    def batch(anchor, ctx, *others):
+        return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(ctx.view(np.int64)), *[pa.array(x) for x in others[:3]], pa.array(others[3], pa.int32())], names)
 
-    names = ["_anchor", "_ctx", "_id", "_start", "_n", "_dup"]
-    return texts.mapInArrow(tidy(work), "_anchor long, _ctx long, _id long, _start long, _n long, _dup boolean")
+    names = ["_anchor", "_ctx", "_id", "_start", "_n", "_kind"]
+    return texts.mapInArrow(tidy(work), "_anchor long, _ctx long, _id long, _start long, _n long, _kind int")
 
 
 def _marks(slim: DataFrame, plan: Plan) -> DataFrame:
@@ -207,10 +231,11 @@ def _marks(slim: DataFrame, plan: Plan) -> DataFrame:
         last_anchor = last_ctx = held = None
         run = 0
         for b in batches:
-            dup = b.column(5).to_numpy(zero_copy_only=False).astype(bool)
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            direct = [x[dup] for x in cols[2:]]
-            anchor, ctx, ids, start, n = (x[~dup] for x in cols)
+            dup = b.column(5).to_numpy(zero_copy_only=False) == DUPLICATE
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            direct = [x[dup] for x in cols[2:5]]
+            anchor, ctx, ids, start, n, kind_ = (x[~dup] for x in cols)
+            real = kind_ != NOTE
             m = len(anchor)
             kinds = [np.zeros(len(direct[0]), np.int32)]
             out = [[*direct, np.zeros(len(direct[0]), np.int64)]]
@@ -228,23 +253,23 @@ def _marks(slim: DataFrame, plan: Plan) -> DataFrame:
                 if not new_c[0]:
                     pos[: begin[1] if len(begin) > 1 else m] += run
                 # with one compared per context, what makes an anchor recur is another context; else any other row
-                second = (new_c if plan.compared == 1 else np.ones(m, bool)) & ~new_a
+                second = (new_c if plan.compared == 1 else np.ones(m, bool)) & ~new_a | (kind_ == SURE)
                 seg = np.flatnonzero(new_a)
                 if not len(seg) or seg[0]:
                     seg = np.append(0, seg)
                 has = np.add.reduceat(second.astype(np.int64), seg) > 0
                 lead = np.zeros(m, bool)
                 lead[seg[has]] = True
-                compare = (pos < plan.compared) & (second | (new_a & lead))
-                remove = pos >= plan.compared
+                compare = (pos < plan.compared) & (second | (new_a & lead)) & real
+                remove = (pos >= plan.compared) & real
                 if held is not None and (new_a[0] or has[0]):
-                    if has[0] and not new_a[0]:
-                        out.append([np.array([x]) for x in held])
+                    if has[0] and not new_a[0] and held[-1]:
+                        out.append([np.array([x]) for x in held[:-1]])
                         kinds.append(np.full(1, COMPARE, np.int32))
                     held = None
                 if not has[-1] and new_a[seg[-1]]:
                     i = seg[-1]
-                    held = (ids[i], start[i], n[i], anchor[i])
+                    held = (ids[i], start[i], n[i], anchor[i], real[i])
                 for mask, kind in ((compare, COMPARE), (remove, REMOVE)):
                     out.append([ids[mask], start[mask], n[mask], anchor[mask]])
                     kinds.append(np.full(int(mask.sum()), kind, np.int32))
@@ -253,7 +278,8 @@ def _marks(slim: DataFrame, plan: Plan) -> DataFrame:
             if len(both[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in both] + [pa.array(np.concatenate(kinds), pa.int32())], ["_id", "_start", "_n", "_anchor", "_kind"])
 
-    dealt = slim.repartition("_anchor").sortWithinPartitions("_anchor", "_ctx", "_id", "_start")
+    together = F.when(F.col("_kind") == SURE, F.xxhash64("_anchor", "_ctx")).otherwise(F.col("_anchor"))
+    dealt = slim.repartition(together).sortWithinPartitions("_anchor", "_ctx", "_id", "_start")
     return dealt.mapInArrow(tidy(work), MARK)
 
 
