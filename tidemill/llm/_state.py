@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 #: Rows of ids up to which a table is broadcast.
 BROADCAST_ROWS = 1_000_000
-#: Seconds that must lie between two times that the driver frees what finished steps have left.
-FREE_EVERY = 3.0
+#: Seconds that must lie between two times that the driver frees memory which finished steps have left.
+FREE_EVERY = 5.0
+#: Whether Spark deletes a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows in one Arrow batch; texts are long, and a worker holds a few batches at a time.
 ARROW_ROWS = 512
 
@@ -83,12 +85,15 @@ class Steps:
         Steps.opened.append(self)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it back. Shuffle files of what led to it can then go."""
+        """Write df and read it back. Shuffle files of what led to it go, as the same plan never runs again."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
-        schema = df.schema
-        df.write.option("compression", "zstd").parquet(path)
-        del df
+        schema, before = df.schema, self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         self.free()
         found = self.spark.read.schema(schema).parquet(path)
         self.tables[id(found)] = (found, path)
@@ -135,8 +140,7 @@ class Steps:
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
     def free(self) -> None:
-        """Let go of finished steps: Spark drops the shuffle files of collected plans when the JVM collects its garbage,
-        and the driver's two processes hand memory back that planning took; now and then only, as it takes a while."""
+        """The driver's two processes hand memory back that planning took; now and then only, as it takes a while."""
         if time.monotonic() - Steps.freed < FREE_EVERY:
             return
         gc.collect()
