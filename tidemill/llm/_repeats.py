@@ -22,7 +22,8 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm._state import Steps, prepare
@@ -284,12 +285,16 @@ def _marks(slim: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _cut(texts: DataFrame, compare: DataFrame, plan: Plan) -> DataFrame:
-    """(_key, _id, _start, _n, _bytes) of contexts to compare; of frequent anchors, of each window."""
+    """(_key, _id, _start, _n, _bytes) of contexts to compare; of frequent anchors, of each window.
+
+    Windows that equal an earlier one which the same task handed on have no bytes: there is nothing left to find out.
+    """
     hot = compare.groupBy("_anchor").agg(F.count("*").alias("_c")).filter(F.col("_c") > HOT).select("_anchor", F.lit(True).alias("_hot"))
     few = hot.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS
     listed = compare.join(F.broadcast(hot) if few else hot, "_anchor", "left").groupBy("_id").agg(F.collect_list(F.struct("_start", "_n", "_anchor", F.coalesce("_hot", F.lit(False)).alias("_hot"))).alias("_list"))
 
     def work(batches):
+        seen: dict[bytes, tuple[int, int]] = {}
         for b in batches:
             lists = b.column(2)
             for first, end, data, offsets in pieces(b.column(1)):
@@ -309,11 +314,18 @@ def _cut(texts: DataFrame, compare: DataFrame, plan: Plan) -> DataFrame:
                     at, stop = spans[0][at], spans[1][stop - 1]
                 raw = data.tobytes()
                 texts_ = [raw[a:e] for a, e in zip(at.tolist(), stop.tolist(), strict=True)]
-                key = anchor.copy()
-                for i in np.flatnonzero(hot).tolist():
-                    whole = one_space(texts_[i]) if plan.words else texts_[i]
-                    key[i] = int.from_bytes(blake2b(whole, digest_size=8).digest(), "little", signed=True) ^ int(anchor[i])
-                ids = b.column(0).slice(first, end - first).take(pa.array(row))
+                key, ids = anchor.copy(), b.column(0).slice(first, end - first).take(pa.array(row))
+                for i, doc in zip(np.flatnonzero(hot).tolist(), ids.filter(pa.array(hot)).to_pylist(), strict=True):
+                    whole, place = one_space(texts_[i]) if plan.words else texts_[i], (doc, int(start[i]))
+                    name = blake2b(whole, digest_size=8).digest()
+                    key[i] = int.from_bytes(name, "little", signed=True) ^ int(anchor[i])
+                    before = seen.get(whole)
+                    if before is not None and before < place:  # this task has handed on an earlier one
+                        texts_[i], key[i] = None, int.from_bytes(name, "little", signed=True) ^ hash(place)
+                    else:
+                        if len(seen) >= KNOWN:
+                            seen.clear()
+                        seen[whole] = place
                 yield pa.RecordBatch.from_arrays([pa.array(key), ids, pa.array(start), pa.array(n), pa.array(texts_, pa.binary())], ["_key", "_id", "_start", "_n", "_bytes"])
 
     joined = texts.join(listed, "_id").select("_id", "_text", "_list")
@@ -342,6 +354,10 @@ def _compared(cut: DataFrame, plan: Plan) -> DataFrame:
     def work(batches):
         rows, load, fresh = [], 0, 0
         for b in batches:
+            plain = b.column(4).is_valid()
+            if plain.false_count:
+                yield b.filter(pc.invert(plain)).select([1, 2, 3])
+                b = b.filter(plain)
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if load > LOAD and r[0] != rows[-1][0]:
                     yield judge(rows, fresh)[0]
