@@ -93,3 +93,14 @@ def test_flights_keep_totals(rows, seed):
 @given(st.lists(st.integers(0, 5), max_size=12))
 def test_ragged(lengths):
     assert ragged(np.array(lengths, np.int64)).tolist() == [i for n in lengths for i in range(n)]
+
+
+def test_functions_for_workers_are_small():
+    """However large the tables of the module have become in this process."""
+    from pyspark import cloudpickle
+
+    from tidemill.llm import _text
+
+    _text.UNITS.upto(100)
+    _text.BYTES.upto(100)
+    assert len(cloudpickle.dumps(_text.tidy(lambda batches: batches))) < 5_000

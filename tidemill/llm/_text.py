@@ -24,15 +24,20 @@ def tidy(work):
 
     def run(batches):
         yield from work(batches)
-        for powers in (BYTES, UNITS):
-            powers.shrink()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        give_back()
 
     return run
 
 
+def give_back() -> None:
+    """A function of its own, so that what tidy() makes doesn't take the tables of powers along to the workers."""
+    for powers in (BYTES, UNITS):
+        powers.shrink()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (the splitmix64 finaliser)."""
     x = x ^ (x >> U(30))
