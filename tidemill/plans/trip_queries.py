@@ -441,28 +441,26 @@ def trip_corrections(spark, d):
 
 
 def _lake(spark, d) -> lakehouse.Lakehouse:
-    """Two months landed and processed in a lakehouse of its own."""
+    """All months landed and processed in a lakehouse of its own; the fee is a column of the last one only."""
     lake = lakehouse.Lakehouse(spark, f"{scratch(spark, d)}/lake")
-    rows = delivered(spark, d).filter("VendorID = 1 and PULocationID % 4 = 0")
-    for month in MONTHS[1:]:
-        batch = rows.filter(F.col("_source_month") == month).drop("_source_month")
-        lake.land(batch if month == MONTHS[2] else batch.drop("cbd_congestion_fee"), f"yellow_{month}", month, f"made://{month}", "0")
+    rows = delivered(spark, d)
+    for month in MONTHS:
+        batch = rows.filter(F.col("_source_month") == month).drop("_source_month", *(["cbd_congestion_fee"] if month != MONTHS[-1] else []))
+        lake.land(batch, f"yellow_{month}", month, f"made://{month}", "0")
     lake.silver()
     return lake
 
 
-#: The same two months in SQL: each judged by itself, the second merged into the first.
-LAKE_SQL = JUDGED_SQL.replace("FROM copied\n)", "FROM copied WHERE l_linenumber % 2 = 0 AND pu % 4 = 0 AND m > 0\n)").replace("PARTITION BY trip_key", "PARTITION BY _source_month, trip_key").replace(
-    "CASE WHEN m = 0 THEN NULL WHEN pu % 5", "CASE WHEN m < 2 THEN NULL WHEN pu % 5"
-)
+#: The same in SQL: each month judged by itself, then merged into those before it.
+LAKE_SQL = JUDGED_SQL.replace("PARTITION BY trip_key", "PARTITION BY _source_month, trip_key").replace("CASE WHEN m = 0 THEN NULL WHEN pu % 5", "CASE WHEN m < 2 THEN NULL WHEN pu % 5")
 
 
 @query(
     "lake_ledger",
-    f"""{LAKE_SQL}, merged AS (SELECT b.trip_key, a.row_hash AS before, b.row_hash AS after FROM accepted b LEFT JOIN (SELECT * FROM accepted WHERE _source_month = '2025-01') a ON a.trip_key = b.trip_key AND a.pickup_month = b.pickup_month WHERE b._source_month = '2025-02')
-SELECT 'yellow_' || _source_month AS batch_id, count(*) AS landed_rows, count(*) FILTER (WHERE reject_reason IS NULL) AS accepted_rows, count(*) FILTER (WHERE reject_reason IS NOT NULL) AS rejected_rows,
-  CASE WHEN _source_month = '2025-01' THEN count(*) FILTER (WHERE reject_reason IS NULL) ELSE (SELECT count(*) FROM merged WHERE before IS NULL) END AS inserted,
-  CASE WHEN _source_month = '2025-01' THEN 0 ELSE (SELECT count(*) FROM merged WHERE before <> after) END AS updated, CASE WHEN _source_month = '2025-01' THEN 0 ELSE (SELECT count(*) FROM merged WHERE before = after) END AS noop FROM judged GROUP BY _source_month""",
+    f"""{LAKE_SQL}, merged AS (SELECT *, lag(row_hash) OVER (PARTITION BY pickup_month, trip_key ORDER BY _source_month) AS before FROM accepted),
+changes AS (SELECT _source_month, count(*) FILTER (WHERE before IS NULL) AS inserted, count(*) FILTER (WHERE before <> row_hash) AS updated, count(*) FILTER (WHERE before = row_hash) AS noop FROM merged GROUP BY 1)
+SELECT 'yellow_' || _source_month AS batch_id, count(*) AS landed_rows, count(*) FILTER (WHERE reject_reason IS NULL) AS accepted_rows, count(*) FILTER (WHERE reject_reason IS NOT NULL) AS rejected_rows, any_value(inserted) AS inserted, any_value(updated) AS updated,
+  any_value(noop) AS noop FROM judged JOIN changes USING (_source_month) GROUP BY _source_month""",
 )
 def lake_ledger(spark, d):
     return _lake(spark, d).ledger.read().select("batch_id", "landed_rows", "accepted_rows", "rejected_rows", "inserted", "updated", "noop")
@@ -516,7 +514,11 @@ def fixture_lane(spark, d):
     return spark.createDataFrame([(k, found[k]) for k in expected], "name string, n int")
 
 
-@query("fixture_judged", "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'INVALID_PICKUP_DATETIME' WHEN o_orderkey % 11 = 0 THEN 'MISSING_LOCATION' WHEN o_orderkey % 13 = 0 THEN 'INVALID_FARE' WHEN row_number() OVER (PARTITION BY o_orderkey // 2, o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AND (o_orderkey % 13 <> 0 OR o_orderkey % 5 = 0) ORDER BY o_orderkey) > 1 AND NOT (o_orderkey % 13 = 0 AND o_orderkey % 5 <> 0) THEN 'DUPLICATE_TRIP' END AS reason, o_orderkey FROM orders WHERE o_orderkey % 13 <> 0 OR o_orderkey % 5 <> 0) GROUP BY 1")
+@query(
+    "fixture_judged",
+    """WITH ruled AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'INVALID_PICKUP_DATETIME' WHEN o_orderkey % 11 = 0 THEN 'MISSING_LOCATION' WHEN o_orderkey % 13 = 0 THEN 'INVALID_FARE' END AS bad FROM orders)
+SELECT reason, count(*) AS n FROM (SELECT coalesce(bad, CASE WHEN row_number() OVER (PARTITION BY k // 2, bad IS NULL ORDER BY k) > 1 THEN 'DUPLICATE_TRIP' END) AS reason FROM ruled) GROUP BY 1""",
+)
 def fixture_judged(spark, d):
     """Orders as fixture rows: two of one id, some with bad times, places or fares (bad text in a fare isn't a defect)."""
     names = [p.split() for p in generate.FIXTURE_DDL.split(", ")]
@@ -529,7 +531,7 @@ def fixture_judged(spark, d):
         "DOLocationID": F.lit("7"),
         "fare_amount": F.when(key % 13 == 0, "-1.0").when(key % 3 == 0, "unreadable").otherwise("12.5"),
     }
-    rows = table(spark, d, "orders").filter("o_orderkey % 13 <> 0 or o_orderkey % 5 <> 0").select(*[cells.get(c, F.lit(None).cast("string")).alias(c) for c, _ in names])
+    rows = table(spark, d, "orders").select(*[cells.get(c, F.lit(None).cast("string")).alias(c) for c, _ in names])
     return fixture.judge(rows).groupBy(F.col("reject_reason").alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -569,11 +571,11 @@ def published_forms(spark, d):
     return parts[0].unionByName(parts[1])
 
 
-@query("header_by_keywords", "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
+@query("header_by_keywords", "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1")
 def header_by_keywords(spark, d):
     """A CSV with a byte-order mark whose columns are found by words in their names, its counts with thousands separators."""
     at = scratch(spark, d)
-    counts = table(spark, d, "orders").filter("o_orderstatus = 'F'").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("m")).agg(F.count("*").alias("n"))
+    counts = table(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("m")).agg(F.count("*").alias("n"))
     counts.select(F.col("m").alias("﻿Report Month"), F.format_number("n", 0).alias("Pickups (total)")).coalesce(1).write.option("header", True).csv(f"{at}/out")
     rows = readers.csv_text(spark, f"{at}/out")
     month, n = readers.find_column(rows.columns, ("month",)), readers.find_column(rows.columns, ("trips",), ("pickup",))
