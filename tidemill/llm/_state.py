@@ -8,6 +8,7 @@ import ctypes
 import gc
 import shutil
 import tempfile
+import threading
 import time
 import uuid
 import zipfile
@@ -79,6 +80,7 @@ class Steps:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.thread = threading.get_ident()
         self.tables: dict[int, tuple[DataFrame, str]] = {}
         if not Steps.opened:
             atexit.register(Steps.close_all)
@@ -123,17 +125,18 @@ class Steps:
         return found
 
     @classmethod
-    def close_since(cls, count: int) -> None:
-        """Delete all tables of the runs that began after the first `count`; nothing may read them any more."""
-        for s in cls.opened[count:]:
+    def close_since(cls, before: list[Steps]) -> None:
+        """Delete all tables of the runs that this thread began beside those in `before`; nothing may read them any more."""
+        for s in [s for s in cls.opened if s not in before and s.thread == threading.get_ident()]:
+            cls.opened.remove(s)
             s._delete(s.root)
-        del cls.opened[count:]
 
     @classmethod
     def close_all(cls) -> None:
         """Delete what is left when the application ends."""
         with contextlib.suppress(Exception):  # the session may have ended before
-            cls.close_since(0)
+            for s in cls.opened:
+                s._delete(s.root)
 
     def _delete(self, path: str) -> None:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
