@@ -75,7 +75,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = Steps(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        before, others = docs, len(Steps.opened)
+        before, others = docs, list(Steps.opened)
         docs = steps.put(stage(spark, docs, sf_dir), f"stage-{i}")
         Steps.close_since(others)
         steps.drop(before)
