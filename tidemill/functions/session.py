@@ -45,3 +45,10 @@ def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@contextmanager
+def own_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries in this block go when each ends; a plan that ran here must not run again."""
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        yield

@@ -16,7 +16,8 @@ import math
 import os
 import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import replace
 from datetime import date, datetime
 from decimal import Decimal
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.functions.expressions import named
-from tidemill.functions.session import settings
+from tidemill.functions.session import own_shuffles, settings
 from tidemill.sources.log import DataFile, Folder, Layout, Log, Snapshot
 
 #: Statistics are kept of the first columns only, as wide tables would make the log large.
@@ -38,6 +39,8 @@ FILE, ROW = "__file", "__row"
 MARKS = f"{FILE} string, {ROW} bigint"
 #: Deleted rows of the files that are read up to which their numbers are broadcast.
 BROADCAST_MARKS = 1_000_000
+#: Hashes of keys up to which they are broadcast.
+BROADCAST_KEYS = 1_000_000
 #: (column, operator, value): =, <, <=, >, >=, in; joined by and.
 Predicate = tuple[str, str, Any]
 
@@ -94,8 +97,10 @@ def may_hold(f: DataFile, where: Iterable[Predicate], kinds: dict[str, T.DataTyp
 class VersionedTable:
     """A table at a folder that Spark can reach."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, compression: str | None = None):
+        """compression: how files are written from now on (None: as the session says); what is there stays readable."""
         self.spark, self.folder = spark, Folder(spark, path)
+        self.options = {"compression": compression} if compression else {}
         self.log = Log(self.folder)
 
     # ---- reading ----
@@ -165,10 +170,11 @@ class VersionedTable:
     # ---- writing ----
 
     def _write(self, df: DataFrame) -> list[DataFile]:
-        """Write rows as new files, with statistics from one more scan of them."""
+        """Write rows as new files, with statistics from one more scan of them; shuffle files of what led to them go."""
         name = f"data/{uuid.uuid4().hex}"
         at = f"{self.folder.root}/{name}"
-        df.write.parquet(at)
+        with own_shuffles(self.spark):
+            df.write.options(**self.options).parquet(at)
         sizes = {p: size for p, size, _ in self.folder.walk(name) if p.endswith(".parquet")}
         kept = [f for f in df.schema.fields if isinstance(f.dataType, _ORDERED)][:STAT_COLUMNS]
         aggs = [F.count("*").alias("rows")]
@@ -200,16 +206,24 @@ class VersionedTable:
         return self.log.append(base, info, add, remove, layout, blind)
 
     @staticmethod
-    def _spread(df: DataFrame, partition: Iterable[str]) -> DataFrame:
-        """Rows of one partition value together; large values are split by the optimiser."""
-        cols = [named(c) for c in partition]
-        return df.hint("rebalance", *cols) if cols else df
+    def _spread(df: DataFrame, partition: Iterable[str], mostly: Iterable[Predicate] = ()) -> DataFrame:
+        """Rows of one partition value together; large values are split by the optimiser.
 
-    def create(self, df: DataFrame, *, partition: Iterable[str] = (), cluster: Iterable[str] = (), properties: dict[str, str] | None = None, user_metadata: dict | None = None) -> int:
+        Rows that meet `mostly`, which names one partition value, go to files of their own as they come, without a shuffle.
+        """
+        cols, mostly = [named(c) for c in partition], list(mostly)
+        if not cols:
+            return df
+        if not mostly:
+            return df.hint("rebalance", *cols)
+        test = F.coalesce(as_column(mostly), F.lit(False))
+        return df.filter(test).unionByName(df.filter(~test).hint("rebalance", *cols))
+
+    def create(self, df: DataFrame, *, partition: Iterable[str] = (), cluster: Iterable[str] = (), properties: dict[str, str] | None = None, user_metadata: dict | None = None, mostly: Iterable[Predicate] = ()) -> int:
         if self.exists():
             raise ValueError(f"{self.folder.root} is a table already")
         layout = Layout(df.schema.json(), tuple(partition), tuple(cluster), properties or {})
-        return self._commit(-1, "CREATE", self._write(self._spread(df, partition)), [], layout=layout, user_metadata=user_metadata)
+        return self._commit(-1, "CREATE", self._write(self._spread(df, partition, mostly)), [], layout=layout, user_metadata=user_metadata)
 
     def _evolved(self, s: Snapshot, incoming: T.StructType, evolve: bool) -> tuple[Layout | None, T.StructType]:
         """The layout that also has the incoming columns (None: no change), and its schema."""
@@ -232,11 +246,11 @@ class VersionedTable:
         have = {c.lower(): c for c in df.columns}
         return df.select(*[(named(have[f.name.lower()]) if f.name.lower() in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
 
-    def append(self, df: DataFrame, *, evolve: bool = False, user_metadata: dict | None = None) -> int:
+    def append(self, df: DataFrame, *, evolve: bool = False, user_metadata: dict | None = None, mostly: Iterable[Predicate] = ()) -> int:
         """Add rows. With evolve, new columns join the schema; older rows read null there, and no file is rewritten."""
         s = self.log.snapshot()
         layout, schema = self._evolved(s, df.schema, evolve)
-        add = self._write(self._spread(self._shaped(df, schema), s.layout.partition))
+        add = self._write(self._spread(self._shaped(df, schema), s.layout.partition, mostly))
         return self._commit(s.version, "APPEND", add, [], layout=layout, user_metadata=user_metadata, blind=layout is None)
 
     def overwrite(self, df: DataFrame, *, user_metadata: dict | None = None) -> int:
@@ -284,45 +298,75 @@ class VersionedTable:
         gone = sum(s.files[p].rows for p in hit) - sum(f.rows for f in kept)
         return self._commit(s.version, operation, [*add, *kept], hit, layout=layout, metrics={"rows_deleted": gone, "rows_copied": sum(f.rows for f in kept)}, parameters={"where": [list(map(str, w)) for w in where]}, user_metadata=user_metadata)
 
+    @contextmanager
+    def _shared(self, source: DataFrame, target: DataFrame, keys: list[str]) -> Iterator[Callable[[DataFrame], DataFrame]]:
+        """What leaves out rows whose keys' hash neither is on both sides nor comes again in source: such keys are there once.
+
+        Only hashes are shuffled for it; what is left is for a join of the keys themselves.
+        """
+        one, many = F.xxhash64(*[named(k) for k in keys]), 1 << 32
+        sides = source.select(one.alias("_h"), F.lit(1).cast("long").alias("_n")).unionByName(target.select(one.alias("_h"), F.lit(many).alias("_n")))
+        met = sides.groupBy("_h").agg(F.sum("_n").alias("_n")).filter((F.col("_n") % many > 1) | (F.col("_n") > many) & (F.col("_n") % many > 0))
+        name = f"data/{uuid.uuid4().hex}-keys"
+        with own_shuffles(self.spark):
+            met.select("_h").write.parquet(f"{self.folder.root}/{name}")
+        hashes = self.spark.read.schema("_h bigint").parquet(f"{self.folder.root}/{name}")
+        few = hashes.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+        try:
+            yield lambda df: df.withColumn("_h", one).join(F.broadcast(hashes) if few else hashes, "_h", "left_semi").drop("_h")
+        finally:
+            self.folder.delete(name)
+
     def plan_merge(self, source: DataFrame, keys: list[str], changed: str) -> dict[str, int]:
-        """How many rows of source a merge would insert, update and leave, by one join."""
+        """How many rows of source a merge would insert, update and leave, by one join of the keys that may be on both sides."""
         theirs = source.select(*[named(k) for k in keys], named(changed).alias("_s"))
-        ours = self.read().select(*[named(k) for k in keys], named(changed).alias("_t"), F.lit(True).alias("_found"))
-        row = theirs.join(ours, keys, "left").agg(
-            F.count_if(F.col("_found").isNull()).alias("inserts"),
-            F.count_if(F.col("_found") & ~F.col("_s").eqNullSafe(F.col("_t"))).alias("updates"),
-            F.count_if(F.col("_found") & F.col("_s").eqNullSafe(F.col("_t"))).alias("noop"),
-        )
-        return row.first().asDict()
-
-    def merge(self, source: DataFrame, keys: list[str], changed: str, *, evolve: bool = True, user_metadata: dict | None = None, vectors: bool = False) -> dict[str, int]:
+        where = self._bounds(source, [c for c in self.log.snapshot().layout.partition if c in keys])
+        ours = self.read(where=where).select(*[named(k) for k in keys], named(changed).alias("_t"), F.lit(True).alias("_found"))
+        with self._shared(theirs, ours, keys) as left:
+            some = left(theirs)
+            joined = some.join(left(ours), keys, "left").agg(
+                F.count_if(F.col("_found").isNull()).alias("inserts"),
+                F.count_if(F.col("_found") & ~F.col("_s").eqNullSafe(F.col("_t"))).alias("updates"),
+                F.count_if(F.col("_found") & F.col("_s").eqNullSafe(F.col("_t"))).alias("noop"),
+            )
+            row = joined.first().asDict()
+            return row | {"inserts": row["inserts"] + theirs.count() - some.count()}
+
+    def merge(self, source: DataFrame, keys: list[str], changed: str, *, evolve: bool = True, user_metadata: dict | None = None, vectors: bool = False, stored: bool = False, mostly: Iterable[Predicate] = ()) -> dict[str, int]:
         """Update rows whose `changed` column differs, insert keys that are new, leave the rest; one commit.
 
         Only files that hold a row to update are rewritten; with vectors none is: they get marks of such rows, whose new
         values are written beside the inserted ones. Two source rows with one key are an error. Columns that
         the source lacks keep their values in updated rows and are null in inserted ones. Null keys match nothing.
+        stored: the source is read from files, so it isn't kept meanwhile; mostly: see _spread, for the rows to insert.
         """
         s = self.log.snapshot()
         layout, schema = self._evolved(s, source.schema, evolve)
         cols = [named(k) for k in keys]
-        source, met = source.persist(), None
+        source, met = source if stored else source.persist(), None
         try:
             where, kinds = self._bounds(source, [c for c in s.layout.partition if c in keys]), _kinds(s)
             listed = [p for p, f in s.files.items() if may_hold(f, where, kinds)]
             target = self._frame(s, only=listed, located=True)
             ours = target.select(*cols, named(changed).alias("_t"), FILE, ROW)
-            # one join of keys tells what is there, where it is, whether it differs, and which keys the source repeats
-            theirs = source.dropna(subset=keys).groupBy(*cols).agg(F.count("*").alias("_times"), F.first(named(changed)).alias("_s"))
-            met = theirs.join(ours, keys, "left").select(*cols, FILE, ROW, "_times", (~F.col("_s").eqNullSafe(F.col("_t"))).alias("_differs")).persist()
-            found = met.groupBy(FILE).agg(F.count("*").alias("n"), F.count_if("_differs").alias("u"), F.max("_times").alias("times")).collect()
+            sure = source.dropna(subset=keys)
+            # one join of the keys that may be met tells what is there, where it is, whether it differs, and which the source repeats
+            with self._shared(sure.select(*cols), ours.select(*cols), keys) as left:
+                theirs = left(sure.select(*cols, named(changed).alias("_s"))).groupBy(*cols).agg(F.count("*").alias("_times"), F.first("_s").alias("_s"))
+                met = theirs.join(left(ours), keys, "left").select(*cols, FILE, ROW, "_times", (~F.col("_s").eqNullSafe(F.col("_t"))).alias("_differs")).persist()
+                found = met.groupBy(FILE).agg(F.count("*").alias("n"), F.count_if("_differs").alias("u"), F.max("_times").alias("times")).collect()
             if any(r["times"] > 1 for r in found):
                 raise ValueError(f"several source rows have the key {met.filter('_times > 1').select(*cols).first().asDict()}")
             there = [r for r in found if r[FILE] is not None]
             touched = [f"data/{r[FILE]}" for r in there if r["u"]]
-            new = source.join(met.filter(F.col(FILE).isNotNull()).select(*cols).distinct(), keys, "left_anti")
-            out, marked = self._spread(self._shaped(new, schema), s.layout.partition), []
+            few = sum(r["n"] for r in there) <= BROADCAST_KEYS // 10
+            held = met.filter(F.col(FILE).isNotNull())
+            new = source.join(F.broadcast(held.select(*cols).distinct()) if few else held.select(*cols).distinct(), keys, "left_anti")
+            out, marked = self._spread(self._shaped(new, schema), s.layout.partition, mostly if few else ()), []
             if touched:
-                t, u = self._shaped(self._frame(s, only=touched), schema).alias("t"), source.alias("u")
+                # of the source only the rows that differ, if they are few, so that nothing else moves
+                u = F.broadcast(source.join(F.broadcast(held.filter("_differs").select(*cols).distinct()), keys, "left_semi")) if few else source
+                t, u = self._shaped(self._frame(s, only=touched), schema).alias("t"), u.alias("u")
                 joined = t.join(u, [F.col(f"t.`{k}`") == F.col(f"u.`{k}`") for k in keys], "inner" if vectors else "left")
                 # the same condition guards rewriting and counting, so rows that don't differ keep their lineage
                 take = F.col(f"u.`{keys[0]}`").isNotNull() & ~F.col(f"u.`{changed}`").eqNullSafe(F.col(f"t.`{changed}`"))
